@@ -1,0 +1,4 @@
+"""Every query by name, with the SQL it is held against."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
