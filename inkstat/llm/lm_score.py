@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, column, partition_id, slices, staged, text_bytes, word_hashes, words
 from .ppm import Model, gram_keys
 
-ORDER = 6
+ORDER = 5
 #: Nodes that the broadcast trie keeps of one order, and words of the broadcast head.  Rarer
 #: contexts escape to shorter ones; rarer words are looked up by a join.
 NODES, HEAD = 1 << 20, 1 << 19
 #: Distinct keys that a task gathers before it hands them on.
-GATHER = 1 << 21
+GATHER = 1 << 20
 
 
 def remainder(column_name: str, by: int):
