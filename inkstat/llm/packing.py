@@ -15,12 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, partition_id, slices, staged
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 WINDOW = 2048
 
@@ -151,9 +150,9 @@ def tokenised(docs: DataFrame, end_id: int = 1, window: int = WINDOW, path: str
     def encode(batches):
         shard, full, seen, end = partition_id(), 0, np.zeros(window, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ENCODE_BYTES):
                 out = []
-                for doc_id, ids in zip(column(part, "doc_id").to_pylist(), encoder(path)(pc.fill_null(column(part, "text"), "").to_pylist())):
+                for doc_id, ids in zip(column(part, "doc_id").to_pylist(), encoder(path)(column(part, "text"))):
                     ids += end
                     n = len(ids) // 4
                     k, rem = divmod(n, window)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,49 +14,135 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, partition_id, slices, staging_root
+from .common import column, partition_id, slices, staging_root, text_bytes, word_hashes, words
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces of text whose ids a worker remembers.
-MEMO = 400_000
-#: In these ranges every regular-expression engine has the same letters, digits and spaces.
-_PLAIN = re.compile("[\x00-ԯ‐-⁤₠-₿　-ヿ一-龥가-힣]*").fullmatch
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 3 << 20
+#: Distinct words whose ids a worker keeps for good, and for a while.
+COMMON, RECENT = 400_000, 100_000
+#: White space is single spaces and newlines between other characters, and one newline may end the text; every
+#: character is one that all versions of Unicode tables class alike.
+_PLAIN = re.compile("(?:[ \n]?[\x00-\x08\x0e-\x1b!-\x84\x86-\x9f\xa1-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]++)*+\n?").fullmatch
+#: ASCII letters and digits, and whatever is not ASCII.
+_SOLID = np.zeros(256, bool)
+_SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
+_WORD = np.ones(256, bool)
+_WORD[[10, 32]] = False
+#: How byte-level BPE writes each byte: printable ones as themselves, the others in order from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 
 
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    Byte-level BPE never merges across the pieces that its pattern splits, so
-    every distinct piece is encoded once and remembered.  Texts that hold a
-    special token's opening or a rare code point go through the library whole.
+    Byte-level BPE never merges across the pieces that its pattern splits, and
+    the pattern always splits before a space or newline that stands alone.  So
+    plain texts are cut there, and of all texts given at once every distinct
+    word (told apart by 64-bit hashes) is looked up once, without the signs behind
+    it.  A new word of letters is one piece and goes to the library's model
+    itself; other new words go to the whole library, and so does
+    any text that is not plain.
     """
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.memo: dict[str, bytes] = {}
+        self.common: dict[int, bytes] = {}
+        self.recent: dict[int, bytes] = {}
+        self.piece = self.tokenizer.model.tokenize
+        self.newline = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        pieces = [self.split(t) if "<|" not in t and _PLAIN(t) else None for t in texts]
-        memo = self.memo
-        new = set(chain.from_iterable(p for p in pieces if p)).difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set(chain.from_iterable(p for p in pieces if p))
-        new = list(new)
-        memo.update(zip(new, self._encode(new)))
-        whole = iter(self._encode([t for t, p in zip(texts, pieces) if p is None]))
-        get = memo.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in pieces]
+    def _letters(self, word: str, space: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.piece(space + word)]).tobytes()  # little-endian, as every platform of Spark's
+
+    def _learn(self, new: list[tuple[str, int]]) -> list[bytes]:
+        """new: a word and what stands before it (0: a space, 1: a newline, 2 and 3: nothing)."""
+        out: list = [None] * len(new)
+        rest = []
+        for i, (word, kind) in enumerate(new):
+            if word.isalpha():
+                ids = self._letters(word, "" if kind else "\u0120")
+                out[i] = self.newline + ids if kind == 1 else ids
+            else:
+                rest.append(i)
+        texts = [(" ", "\n", "", "")[kind] + word for word, kind in (new[i] for i in rest)]
+        for i, ids in zip(rest, self._encode(texts)):
+            out[i] = ids
+        return out
+
+    def _words(self, keys: list[int], word) -> list[bytes]:
+        """Ids for word hashes; word(k) gives the k-th word and what stands before it."""
+        ids = list(map(self.common.get, keys))
+        gaps = [k for k, v in enumerate(ids) if v is None]
+        new = []
+        for k in gaps:
+            if (v := self.recent.get(keys[k])) is None:
+                new.append(k)
+            else:
+                ids[k] = v
+        learnt = self._learn([word(k) for k in new])
+        for k, v in zip(new, learnt):
+            ids[k] = v
+        if len(self.common) < COMMON:
+            keep = self.common
+        else:
+            keep = self.recent
+            if len(keep) > RECENT:
+                keep.clear()
+        keep.update((keys[k], v) for k, v in zip(new, learnt))
+        return ids
+
+    def __call__(self, column_: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; a null one is empty."""
+        column_ = pc.fill_null(column_, "")
+        texts = column_.to_pylist()
+        plain = np.array([bool(t and t[0] not in " \n" and "<|" not in t and _PLAIN(t)) for t in texts], bool)
+        out: list = [None] * len(texts)
+        whole = np.flatnonzero(~plain).tolist()
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+            out[i] = ids
+        chosen = np.flatnonzero(plain).tolist()
+        if not chosen:
+            return out
+        data, offsets = text_bytes(column_ if len(chosen) == len(texts) else column_.filter(pa.array(plain)), lower=False)
+        starts, ends, first = words(data, offsets, _WORD)
+        kind = np.where(data[starts - 1] == 10, 1, 0)
+        kind[first[:-1]] = 2
+        # signs behind a word's last ASCII letter or digit are a piece of their own (kind 3)
+        last = np.maximum.accumulate(np.where(_SOLID[data], np.arange(len(data)), -1))[ends - 1]
+        split = (last >= starts) & (last < ends - 1) & (data[last] < 128)
+        place = np.arange(len(starts)) + np.cumsum(split) - split
+        tails = place[split] + 1
+        begins, stops, kinds = (np.zeros(len(starts) + len(tails), np.int64) for _ in range(3))
+        begins[place], stops[place], kinds[place] = starts, np.where(split, last + 1, ends), kind
+        begins[tails], stops[tails], kinds[tails] = last[split] + 1, ends[split], 3
+        first = np.append(place, len(kinds))[first]
+        starts, ends, kind = begins, stops, kinds
+        keys = word_hashes(data, starts, ends) + kind.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        new, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        begin, end, kinds = starts[at].tolist(), ends[at].tolist(), kind[at].tolist()
+        ids = self._words(new.tolist(), lambda k: (raw[begin[k] : end[k]].decode(), kinds[k]))
+        size = np.array([len(v) // 4 for v in ids], np.int64)
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        n = size[back]
+        done = np.cumsum(n)
+        tokens = pool[np.repeat((np.cumsum(size) - size)[back] - (done - n), n) + np.arange(done[-1])].tobytes()
+        cuts = np.append(0, done)[first] * 4
+        newline = (data[offsets[1:] - 1] == 10).tolist()
+        for i, a, b, more in zip(chosen, cuts[:-1].tolist(), cuts[1:].tolist(), newline):
+            out[i] = tokens[a:b] + self.newline if more else tokens[a:b]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -77,8 +163,8 @@ def encode_sorted(docs: DataFrame, end_id: int = 2, path: str | None = None) ->
     def encode(batches):
         shard, at, end = partition_id(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch):
-                ids = [x + end for x in encoder(path)(pc.fill_null(column(part, "text"), "").to_pylist())]
+            for part in slices(batch, most=ENCODE_BYTES):
+                ids = [x + end for x in encoder(path)(column(part, "text"))]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
                 values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
