@@ -203,16 +203,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, b
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "label").select("fp", "component_id")
     named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(staged(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The rows of docs without all but one row (smallest doc_id) of each component; of equal rows one stays."""
+    """The rows of docs without all but one row (smallest doc_id) of each component; of equal rows one stays.
+
+    What is kept grows with the input, so the texts are dealt out by id and merged with it at every size.
+    """
     found = near_duplicates(docs, shingle, bits)
     first = found.where("doc_id is null or doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"), F.min("component_id").alias("__id"))
     first = staged(first.where("__kept is not null or __id is null"), "kept")
     chosen = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept"))
-    once = docs.join(first.where("__rows = 1").select("__kept"), chosen, "left_semi")
+    once = docs.join(first.where("__rows = 1").select("__kept").hint("merge"), chosen, "left_semi")
     again = docs.join(first.where("__rows > 1").select("__kept"), chosen, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)
 
