@@ -73,7 +73,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, spread: float =
     for p in range(passes):
         chosen = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p)
         table = chosen.toArrow()  # about `block` rows
-        q = np.array(table.column("v").to_pylist(), float).reshape(table.num_rows, -1)
+        q = np.array(table.column("v").to_pylist(), float).reshape(table.num_rows, len(turn))
         spread_block = spark.sparkContext.broadcast((table.column("vec_id").to_numpy(), q, q @ turn.T if len(q) else q))
 
         def run(batches, spread_block=spread_block):
@@ -81,6 +81,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, spread: float =
             best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)  # scores, ids
             for batch in batches:
                 ids = column(batch, "vec_id").to_numpy()
+                if not len(ids):
+                    continue
                 values = column(batch, "v")
                 v = values.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
                 codes = Codes(v, turn)

@@ -61,9 +61,14 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """text: integers from 1 on; 0 parts runs that no pattern may span.  Every `sample`-th place, and every run's first, is kept."""
+    """text: integers from 1 on; 0 begins it and parts runs that no pattern may span.
+
+    Every `sample`-th place, and every run's first, is kept.
+    """
 
     def __init__(self, text: np.ndarray, symbols: int, sample: int = 16):
+        if not len(text) or text[0]:
+            raise ValueError("a text begins with 0")
         order = suffix_array(text)
         last = text[order - 1]
         self.tree = WaveletMatrix(last, max(1, int(symbols).bit_length()))

@@ -66,13 +66,13 @@ def _thresholds(counts: DataFrame, by: str, most: int) -> dict[int, int]:
     rows = counts.groupBy(by, F.floor(F.log2("n")).cast("int").alias("bits")).agg(F.count("*").alias("rows")).collect()  # at most 64 a value
     found: dict[int, int] = {}
     for value in {r[by] for r in rows}:
-        size, bits = 0, 64
+        size, bits = 0, 63
         for r in sorted((r for r in rows if r[by] == value), key=lambda r: -r["bits"]):
             size += r["rows"]
             if size > most:
                 break
             bits = r["bits"]
-        found[value] = 1 << bits
+        found[value] = min(1 << bits, (1 << 63) - 1)
     return found
 
 
@@ -84,7 +84,7 @@ def fit_trie(grams: DataFrame, order: int, nodes: int = NODES) -> Model:
     least = _thresholds(rows, "j", nodes)
     for j in range(1, order + 1):  # a kept follower's suffix must be kept too
         least[j] = max(least.get(j, 1), least.get(j - 1, 1))
-    keep = F.coalesce(*(F.when(F.col("j") == j, F.col("n") >= n) for j, n in least.items() if n < 1 << 63), F.lit(False)) if least else F.lit(False)
+    keep = F.coalesce(*(F.when(F.col("j") == j, F.col("n") >= n) for j, n in least.items()), F.lit(False)) if least else F.lit(False)
     table = rows.where(keep).toArrow()  # at most `nodes` rows an order
     j, key, n = (table.column(c).to_numpy() for c in ("j", "key", "n"))
     orders = []
@@ -114,7 +114,7 @@ def score(docs: DataFrame, train, order: int = ORDER, nodes: int = NODES, head:
     total = (sums["n"] or 0) + n_docs
     bottom = float(np.log10(total + sums["v"] + bool(n_docs) + 1))
     least = _thresholds(word_counts.withColumn("kind", F.lit(0)), "kind", head).get(0, 1)
-    table = word_counts.where(F.col("n") >= min(least, (1 << 63) - 1)).toArrow()
+    table = word_counts.where(F.col("n") >= least).toArrow()
     keys = table.column("key").to_numpy().view(np.uint64)
     common = spark.sparkContext.broadcast({"keys": keys, "n": table.column("n").to_numpy()})
     trie = spark.sparkContext.broadcast(fit_trie(counts.where("kind = 1"), order, nodes))
