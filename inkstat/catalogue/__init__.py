@@ -255,13 +255,13 @@ add("audit_report", lambda d: audit.report(full_rows(d).select(F.concat(F.lit("d
 _ledger = lambda d: full_rows(d).select((F.col("doc_id") % 50).alias("session"), F.col("doc_id").alias("round"), "score", "classification", (F.col("confidence") * 100).alias("confidence"))
 add(
     "rounds_delta",
-    lambda d: rounded(audit.rounds(_ledger(d)), 5),
-    f", {_full} SELECT doc_id % 50 AS session, doc_id AS round, round(score, 5) AS score, round(score - lag(score) OVER (PARTITION BY doc_id % 50 ORDER BY doc_id), 5) AS delta, classification = 'likely_human' AND (confidence * 100 > 80 OR score < 0.26) AS success FROM found",
+    lambda d: rounded(audit.rounds(_ledger(d))),
+    f", {_full} SELECT doc_id % 50 AS session, doc_id AS round, round(score, 6) AS score, round(score - lag(score) OVER (PARTITION BY doc_id % 50 ORDER BY doc_id), 6) AS delta, classification = 'likely_human' AND (confidence * 100 > 80 OR score < 0.26) AS success FROM found",
 )
 QUERIES["label_confusion"] = lambda s, p: full_rows(documents(s, p)).join(tables(s, p, "labels"), "doc_id").groupBy("classification", "quality").agg(F.count("*").alias("n"))
 ORACLE_SQL["label_confusion"] = f"WITH {S.DOCS}, {_full} SELECT classification, quality, count(*) AS n FROM found JOIN labels USING (doc_id) GROUP BY classification, quality"
-QUERIES["corpus_rollup"] = lambda s, p: rounded(full_rows(documents(s, p)).join(documents(s, p).select("doc_id", "lang", "source"), "doc_id").rollup("lang", "source").agg(F.count("*").alias("n"), F.avg("score").alias("score")), 5)
-ORACLE_SQL["corpus_rollup"] = f"WITH {S.DOCS}, {_full} SELECT lang, source, count(*) AS n, round(avg(score), 5) AS score FROM found JOIN docs USING (doc_id) GROUP BY ROLLUP (lang, source)"
+QUERIES["corpus_rollup"] = lambda s, p: rounded(full_rows(documents(s, p)).join(documents(s, p).select("doc_id", "lang", "source"), "doc_id").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("score").alias("score_sum")))
+ORACLE_SQL["corpus_rollup"] = f"WITH {S.DOCS}, {_full} SELECT lang, source, count(*) AS n, round(sum(score), 6) AS score_sum FROM found JOIN docs USING (doc_id) GROUP BY ROLLUP (lang, source)"
 QUERIES["event_windows"] = lambda s, p: streams.windows(tables(s, p, "events"))
 ORACLE_SQL["event_windows"] = "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 QUERIES["chat_role_words"] = lambda s, p: tables(s, p, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.sum(T.count_words(F.col("text"))).alias("words"))
