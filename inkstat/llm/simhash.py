@@ -75,6 +75,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of one block key that a task pairs; larger buckets are dealt out as pairs of tiles.
 BUCKET = 20_000
+#: A fingerprint with over 1 / HOT of all rows is joined by broadcast; there are fewer than HOT of them.
+HOT = 1000
 #: Pairs looked at in one step.
 STEP = 1 << 18
 
@@ -197,13 +199,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, b
     names a component that has another id.
     """
     rows = staged(fingerprints(docs, shingle), "simhash")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     labels = components(links(classes, bits, bucket)).withColumnRenamed("node", "fp")
-    linked = labels.join(classes, "fp")
+    linked = labels.join(classes.select("fp", "least"), "fp")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "label").select("fp", "component_id")
-    named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(staged(named, "named"), "fp").select("doc_id", "fp", "component_id")
+    named = staged(classes.join(named, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")), "named")
+    # fingerprints of more than a thousandth of all rows, fewer than a thousand of them, meet their rows without a shuffle
+    most = (classes.agg(F.sum("copies").alias("n")).first()["n"] or 0) / HOT
+    hot = named.where(F.col("copies") > most).select("fp", "component_id")
+    cold = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.where(F.col("copies") <= most), "fp")
+    return cold.select("doc_id", "fp", "component_id").unionByName(rows.join(F.broadcast(hot), "fp").select("doc_id", "fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
