@@ -13,6 +13,7 @@ from ..operators import editing, ensemble, ngrams, verdicts
 from ..plans import audit
 from ..sources.corpus import tables
 from ..streaming import streams
+from . import markers
 from . import sql as S
 
 QUERIES: dict = {}
@@ -266,3 +267,5 @@ QUERIES["event_windows"] = lambda s, p: streams.windows(tables(s, p, "events"))
 ORACLE_SQL["event_windows"] = "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 QUERIES["chat_role_words"] = lambda s, p: tables(s, p, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.sum(T.count_words(F.col("text"))).alias("words"))
 ORACLE_SQL["chat_role_words"] = f"SELECT role, count(*) AS turns, CAST(sum(len({S.WORDS})) AS BIGINT) AS words FROM conversations GROUP BY role"
+
+markers.register(add, rounded)
