@@ -10,10 +10,12 @@ from ..functions import lexicons as L
 from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import editing, ensemble, ngrams, verdicts
+from ..operators import scores as C
+from ..operators import syntax as X
 from ..plans import audit
 from ..sources.corpus import tables
 from ..streaming import streams
-from . import markers
+from . import dashes, markers, scores, syntax
 from . import sql as S
 
 QUERIES: dict = {}
@@ -129,17 +131,14 @@ add("ngram_top10", lambda d: rounded(ngrams.top(d, 2)), f"SELECT * FROM (SELECT
 _patterns = " + ".join(f"(length(lower(text)) - length(replace(lower(text), {S.q(p)}, ''))) // {len(p)}" for p in L.PHRASES)
 add("phrase_patterns", lambda d: d.select("doc_id", M.phrase_patterns(F.col("text")).alias("patterns")), f"SELECT doc_id, CAST({_patterns} AS BIGINT) AS patterns FROM docs")
 _nscores = [("rep6 > 0.3", 0.7), ("ttr6 < 0.3", 0.6), ("ttr6 > 0.95 AND hapax6 > 0.9", -0.7), ("patterns > 2", 0.8), ("patterns BETWEEN 1 AND 2", 0.4), ("rep4 > 0.25", 0.3), ("ttr5 > 0.9", -0.3)]
-add(
-    "ngram_verdict",
-    lambda d: rounded(ngrams.verdict(d, R.Rules()).select("doc_id", "classification", "confidence")),
-    f""", m AS (SELECT d.doc_id, CAST({_patterns.replace('text', 'd.text')} AS BIGINT) AS patterns, CAST(f.total - f.uniq AS DOUBLE) / f.total AS rep4, CAST(v.uniq AS DOUBLE) / v.total AS ttr5,
+_ngram_parts = f"""m AS (SELECT d.doc_id, CAST({_patterns.replace('text', 'd.text')} AS BIGINT) AS patterns, CAST(f.total - f.uniq AS DOUBLE) / f.total AS rep4, CAST(v.uniq AS DOUBLE) / v.total AS ttr5,
         CAST(x.total - x.uniq AS DOUBLE) / x.total AS rep6, CAST(x.uniq AS DOUBLE) / x.total AS ttr6, CAST(x.once AS DOUBLE) / x.uniq AS hapax6
         FROM docs d LEFT JOIN ({_profile(4)}) f USING (doc_id) LEFT JOIN ({_profile(5)}) v USING (doc_id) LEFT JOIN ({_profile(6)}) x USING (doc_id)),
     s AS (SELECT *, {' + '.join(f'coalesce(CAST({c} AS INTEGER), 0)' for c, _ in _nscores)} AS k, {' + '.join(f'CASE WHEN {c} THEN {v} ELSE 0.0 END' for c, v in _nscores)} AS t FROM m),
-    a AS (SELECT *, CASE WHEN k > 0 THEN CAST(t AS DOUBLE) / k ELSE 0.0 END AS avg FROM s)
-    SELECT doc_id, CASE WHEN patterns >= 2 OR coalesce(rep6 > 0.3, false) THEN 'likely_ai' WHEN coalesce(ttr6 > 0.95 AND hapax6 > 0.9, false) THEN 'likely_human' WHEN avg > 0.3 THEN 'likely_ai' WHEN avg < -0.3 THEN 'likely_human' ELSE 'uncertain' END AS classification,
-    round(CASE WHEN patterns >= 2 OR coalesce(rep6 > 0.3, false) OR coalesce(ttr6 > 0.95 AND hapax6 > 0.9, false) THEN least(0.95, 0.5 + abs(avg)) ELSE least(0.95, 0.4 + abs(avg * 0.5)) END, 6) AS confidence FROM a""",
-)
+    a AS (SELECT *, CASE WHEN k > 0 THEN CAST(t AS DOUBLE) / k ELSE 0.0 END AS avg FROM s)"""
+_ngram_select = """SELECT doc_id, CASE WHEN patterns >= 2 OR coalesce(rep6 > 0.3, false) THEN 'likely_ai' WHEN coalesce(ttr6 > 0.95 AND hapax6 > 0.9, false) THEN 'likely_human' WHEN avg > 0.3 THEN 'likely_ai' WHEN avg < -0.3 THEN 'likely_human' ELSE 'uncertain' END AS classification,
+    round(CASE WHEN patterns >= 2 OR coalesce(rep6 > 0.3, false) OR coalesce(ttr6 > 0.95 AND hapax6 > 0.9, false) THEN least(0.95, 0.5 + abs(avg)) ELSE least(0.95, 0.4 + abs(avg * 0.5)) END, 6) AS confidence FROM a"""
+add("ngram_verdict", lambda d: rounded(ngrams.verdict(d, R.Rules()).select("doc_id", "classification", "confidence")), f", {_ngram_parts} {_ngram_select}")
 _letters = "SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+') AS w FROM docs"
 add("ttr_family", lambda d: rounded(ngrams.diversity(d)), f"SELECT doc_id, round(v / n, 6) AS ttr, round(v / sqrt(n), 6) AS rttr, round(v / sqrt(2 * n), 6) AS cttr, CASE WHEN n > 1 THEN round(ln(v) / ln(n), 6) END AS log_ttr FROM (SELECT doc_id, CAST(len(w) AS DOUBLE) AS n, CAST(len(list_distinct(w)) AS DOUBLE) AS v FROM ({_letters}) WHERE len(w) > 0)")
 _wc = f"SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM ({_letters})) GROUP BY doc_id, x"
@@ -189,9 +188,19 @@ FAST_TOOLS, FIVE = ("vocabulary", "punctuation", "structure"), tuple(verdicts.TO
 _signals = {"punctuation": verdicts.PUNCTUATION_SIGNALS, "structure": verdicts.STRUCTURE_SIGNALS}
 _show = lambda rows: rows.withColumn("top_signals", F.concat_ws("; ", "top_signals"))
 _fast = lambda compat: S.ensemble(S.tool_rows(FAST_TOOLS, _signals), ensemble.FAST, S.fast_score(compat), "contains(classification, 'ai')" if compat else "classification = 'likely_ai'", 0.65, 0.35, 0.8, 0.2, (0.65, 0.85), 5)
-_full = S.ensemble(S.tool_rows(FIVE, _signals), ensemble.FULL, S.FULL_SCORE, "classification = 'likely_ai'", 0.7, 0.3, 0.85, 0.15, (0.75, 0.95), 10)
+_more = f"""SELECT doc_id, 'ngram' AS tool, classification, confidence, CAST([] AS VARCHAR[]) AS signals FROM (WITH {_ngram_parts} {_ngram_select})
+    UNION ALL SELECT doc_id, 'syntactic' AS tool, classification, confidence, CAST([] AS VARCHAR[]) AS signals FROM (WITH {syntax.parse(_table)} {syntax.VERDICT})"""
+_full = S.ensemble(f"{S.tool_rows(FIVE, _signals)} UNION ALL {_more}", ensemble.FULL, S.FULL_SCORE, "classification = 'likely_ai'", 0.7, 0.3, 0.85, 0.15, (0.75, 0.95), 10)
 fast_rows = lambda d: ensemble.fast(verdicts.tool_rows(d, FAST_TOOLS))
-full_rows = lambda d: ensemble.full(verdicts.tool_rows(d, FIVE))
+
+
+def full_tools(d: DataFrame) -> DataFrame:
+    """Rows of all tools that need no outside model: five from one pass, n-grams and the parse."""
+    five = verdicts.tool_rows(d, FIVE)
+    return five.unionByName(C.as_rows(ngrams.verdict(d, R.Rules()), "ngram")).unionByName(C.as_rows(X.verdict(X.document_measures(X.sentence_measures(X.closed_classes(d)))), "syntactic"))
+
+
+full_rows = lambda d: ensemble.full(full_tools(d))
 add("fast_ensemble", lambda d: _show(fast_rows(d)), f", {_fast(True)} SELECT * FROM found")
 add("fast_ensemble_sane", lambda d: _show(ensemble.fast(verdicts.tool_rows(d, FAST_TOOLS), compat=False)), f", {_fast(False)} SELECT * FROM found")
 add("full_ensemble", lambda d: _show(full_rows(d)), f", {_full} SELECT * FROM found")
@@ -269,3 +278,6 @@ QUERIES["chat_role_words"] = lambda s, p: tables(s, p, "conversations").groupBy(
 ORACLE_SQL["chat_role_words"] = f"SELECT role, count(*) AS turns, CAST(sum(len({S.WORDS})) AS BIGINT) AS words FROM conversations GROUP BY role"
 
 markers.register(add, rounded)
+syntax.register(add, rounded, _table)
+scores.register(add, rounded)
+dashes.register(add, rounded)

@@ -16,7 +16,8 @@ DASH = "—"
 
 def sentence_table(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_id (from 1), sentence, words."""
-    rows = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("i", "sentence"))
+    # outer: Spark would cut the text twice, to filter and to explode
+    rows = docs.select("doc_id", F.posexplode_outer(sentences(F.col("text"))).alias("i", "sentence")).where("sentence is not null")
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("sentence_id"), "sentence", F.size(F.filter(F.split("sentence", r"\s+"), lambda w: w != "")).cast("long").alias("words"))
 
 
