@@ -44,7 +44,7 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nda
 class Model:
     """orders: for j = 0..order the sorted keys of (context of j bytes, symbol) and their counts, one column a model."""
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]], final: bool = True):
         self.order = len(orders) - 1
         self.keys = [k for k, _ in orders]
         self.log = [np.log(np.maximum(c - 0.5, 0.5)).astype(np.float32) for _, c in orders]
@@ -74,7 +74,8 @@ class Model:
                     self.low.append(np.log(np.maximum(left, 1)).astype(np.float32))
                     self.low_escape.append(np.where((more > 0) & (left > 0), np.log(0.5 * more / left), 0).astype(np.float32))
             totals = (total, distinct)
-        self.final = self.chain(self.keys[self.order])
+        if final:  # for logs and text_logs
+            self.final = self.chain(self.keys[self.order])
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "indexes"}

@@ -194,6 +194,27 @@ def test_lm_scores(docs, none, head):
     assert lm_score.score(none, lm_score.remainder("doc_id", 7) != 2).count() == 0
 
 
+@pytest.mark.parametrize("nodes", [1 << 20, 40, 0])
+def test_lm_scores_come_from_the_whole_trie(docs, nodes):
+    """However few keys are broadcast, against one model of all training texts."""
+    own = {d: lower(t).encode() for d, t in texts(docs).items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in own}
+
+    def joined(ids):
+        return np.frombuffer(b"".join(own[d] for d in ids), np.uint8), np.cumsum([0, *(len(own[d]) for d in ids)])
+
+    new, n = np.unique(ppm.gram_keys(*joined([d for d in own if not held[d]]), lm_score.ORDER)[0], return_counts=True)
+    orders = [(new, n[:, None].astype(float))]
+    for j in range(lm_score.ORDER - 1, -1, -1):
+        orders.insert(0, ppm.suffix_orders(orders[0][0] & np.uint64((1 << 8 * (j + 1)) - 1), orders[0][1]))
+    want = dict(zip(own, ppm.Model(orders).text_logs(*joined(own))[:, 0] / math.log(10)))
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, lm_score.remainder("doc_id", 7) != 2, nodes=nodes).collect()}
+    assert any(held.values()) and got.keys() == want.keys()
+    assert all(math.isclose(got[d], want[d], rel_tol=1e-5) for d in want)
+    nothing = lm_score.score(docs, F.lit(False), nodes=nodes).collect()
+    assert all(math.isclose(r["score"], -(len(own[r["doc_id"]]) + 1) * math.log10(256), rel_tol=1e-6) for r in nothing)
+
+
 def test_language(spark, docs, none):
     en, de = "the cat and the dog run to the house with a ball", "der hund und die katze laufen mit dem ball zu dem haus"
     rows = [(i, (en if i % 2 else de) + f" {i}", "en" if i % 2 else "de") for i in range(60)] + [(100, en, None), (101, None, "en")]
