@@ -56,16 +56,46 @@ def generalised(segment: Column) -> Column:
 
 
 def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """host, shape (segments after the first generalisation), template, rejected; pages: host, path, blocked (null: no label)."""
+    """host, shape (segments after the first generalisation), template, purity, rejected; pages: host, path, blocked (null: no label).
+
+    Level by level from the root: children of a prefix are judged after all prefixes above
+    are rewritten, so subtrees of merged children are pooled.  A shape that is alone below
+    its prefix can't be merged any further.
+    """
     shapes = pages.groupBy("host", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), generalised).alias("shape")).agg(
         F.count("*").alias("pages"), F.count("blocked").alias("labelled"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("bad")
     )
-    shapes = staged(shapes, "url-shapes")
-    steps = F.transform(F.col("shape"), lambda s, i: F.struct(F.slice("shape", 1, i).alias("prefix"), s.alias("child"), i.alias("depth")))
-    nodes = shapes.select("host", "pages", "labelled", "bad", F.explode(steps).alias("s")).groupBy("host", "s.prefix", "s.child")
-    nodes = nodes.agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
+    live = staged(shapes.withColumn("name", F.array().cast("array<string>")), "url-shapes")
+    done, depth = [], 0
+    while True:
+        live = live.withColumn("more", F.size("shape") > depth)
+        nodes = live.groupBy("host", "name").agg(F.count("*").alias("shapes"))
+        children = live.where("more").groupBy("host", "name", F.get("shape", F.lit(depth)).alias("child")).agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
+        step = nodes.join(_merged(children, settings), ["host", "name"], "left")
+        step = live.join(step, ["host", "name"])
+        ends = (F.col("shapes") == 1) | ~F.col("more")
+        rest = F.slice("shape", depth + 1, F.greatest(F.size("shape") - depth, F.lit(0)))
+        child = F.when(F.col("merge"), F.lit("*")).otherwise(F.get("shape", F.lit(depth)))
+        name = F.when(ends, F.concat("name", rest)).otherwise(F.concat("name", F.array(child)))
+        step = staged(step.select("host", "shape", "pages", "labelled", "bad", name.alias("name"), ends.alias("ends")), "url-level")
+        done.append(step.where("ends").drop("ends"))
+        live = step.where("not ends").drop("ends")
+        depth += 1
+        if not live.limit(1).count():
+            break
+    named = done[0]
+    for part in done[1:]:
+        named = named.unionByName(part)
+    named = named.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "name")))
+    purity = (F.sum("bad") + settings.strength * settings.prior) / (F.sum("labelled") + settings.strength)
+    judged = named.groupBy("host", "template").agg(purity.alias("purity"))
+    return named.select("host", "shape", "template").join(judged, ["host", "template"]).withColumn("rejected", F.col("purity") >= settings.reject)
+
+
+def _merged(children: DataFrame, settings: Settings) -> DataFrame:
+    """host, name, merge of the prefixes whose literal children become a wildcard."""
     share = F.col("bad") / F.col("labelled")
-    parents = nodes.where("child != '*'").groupBy("host", "prefix").agg(
+    parents = children.where("child != '*'").groupBy("host", "name").agg(
         F.count("*").alias("children"),
         F.sum("pages").alias("pages"),
         F.sum("labelled").alias("all_labelled"),
@@ -79,15 +109,7 @@ def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     limit = (F.col("told") - 1) + settings.z * F.sqrt(2.0 * (F.col("told") - 1))
     variable = (F.col("children") >= settings.children) & (F.col("pages") < settings.repeats * F.col("children"))
     alike = (F.col("told") > 1) & (F.col("told") == F.col("children")) & F.coalesce(chi <= limit, F.lit(True))
-    merged = parents.where(variable | alike).select("host", "prefix", F.lit(True).alias("merge"))
-    flags = shapes.select("host", "shape", F.explode_outer(steps).alias("s")).select("host", "shape", "s.depth", "s.child", F.col("s.prefix").alias("prefix"))
-    flags = flags.join(merged, ["host", "prefix"], "left")
-    named = F.when(F.col("merge"), F.lit("*")).otherwise(F.col("child"))
-    shaped = flags.groupBy("host", "shape").agg(F.concat(F.lit("/"), F.concat_ws("/", F.sort_array(F.collect_list(F.struct("depth", named.alias("name")))).getField("name"))).alias("template"))
-    named = shapes.join(shaped, ["host", "shape"])
-    purity = (F.sum("bad") + settings.strength * settings.prior) / (F.sum("labelled") + settings.strength)
-    judged = named.groupBy("host", "template").agg(purity.alias("purity"))
-    return shaped.join(judged, ["host", "template"]).withColumn("rejected", F.col("purity") >= settings.reject)
+    return parents.where(variable | alike).select("host", "name", F.lit(True).alias("merge"))
 
 
 def judge(pages: DataFrame, rules=RULES, settings: Settings = Settings()) -> DataFrame:

@@ -148,6 +148,14 @@ def test_url_templates_learn_from_labels(spark):
     assert {r["template"]: r["rejected"] for r in found.collect()} == {"/shop/*": True, "/news/*": False, "/other/x": False}
 
 
+def test_url_levels_are_merged_from_the_root(spark):
+    names = [a + b for a in "abcdef" for b in "uvwxyz"]
+    rows = [("h", f"/u/{n}/{n}-post", True if i < 20 else None) for i, n in enumerate(names)] + [("h", "/about/team/us", False), ("h", "/", False), ("g", "/a/b/c/d", None)]
+    got = {(r["host"], "/".join(r["shape"])): (r["template"], r["rejected"]) for r in urls.templates(spark.createDataFrame(rows, "host string, path string, blocked boolean")).collect()}
+    want = {("h", f"u/{n}/{n}-post"): ("/u/*/*", True) for n in names}
+    assert got == {**want, ("h", "about/team/us"): ("/about/team/us", False), ("h", ""): ("/", False), ("g", "a/b/c/d"): ("/a/b/c/d", False)}
+
+
 def test_ppm_is_a_distribution_and_exact():
     """Against a plain trie with escapes and exclusion, symbol by symbol."""
     data = np.frombuffer(b"abracadabra abracabra" * 3 + b"xyz", np.uint8)
