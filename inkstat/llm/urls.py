@@ -3,8 +3,11 @@
 A path's segments that look variable (digits, hexadecimal, dates, long slugs)
 become wildcards.  Below every prefix of a host whose literal children are many
 and seldom seen, or whose labelled children can't be told apart by their share
-of rejected pages, the children are merged into a wildcard too.  A template is
-rejected if its smoothed share of labelled pages that the rules block is high.
+of rejected pages, the children are merged into a wildcard too, those without
+labels among them.  A template is rejected if its share of labelled pages that
+the rules block is high, smoothed towards that of the pages around it: first of
+those elsewhere on its host, then of those nearer by.  A template without labels
+is judged by these alone.
 Pages that a rule fits are the labels and keep the rule's verdict.
 """
 
@@ -60,24 +63,32 @@ def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Level by level from the root: children of a prefix are judged after all prefixes above
     are rewritten, so subtrees of merged children are pooled.  A shape that is alone below
-    its prefix can't be merged any further.
+    its prefix can't be merged any further.  On the way down, prior is the smoothed share
+    outside the prefix; every labelled page counts once.
     """
+    smoothed = lambda bad, labelled, prior: (bad + settings.strength * prior) / (labelled + settings.strength)
     shapes = pages.groupBy("host", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), generalised).alias("shape")).agg(
         F.count("*").alias("pages"), F.count("blocked").alias("labelled"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("bad")
     )
-    live = staged(shapes.withColumn("name", F.array().cast("array<string>")), "url-shapes")
+    live = staged(shapes.select("*", F.array().cast("array<string>").alias("name"), F.lit(settings.prior).alias("prior"), F.lit(None).cast("long").alias("up_labelled"), F.lit(None).cast("long").alias("up_bad")), "url-shapes")
     done, depth = [], 0
     while True:
         live = live.withColumn("more", F.size("shape") > depth)
-        nodes = live.groupBy("host", "name").agg(F.count("*").alias("shapes"))
+        nodes = live.groupBy("host", "name").agg(
+            F.count("*").alias("shapes"),
+            *(F.sum(c).alias(f"all_{c}") for c in ("labelled", "bad")),
+            *(F.coalesce(F.sum(F.when(F.col("more"), F.col(c))), F.lit(0)).alias(f"below_{c}") for c in ("labelled", "bad")),
+        )
         children = live.where("more").groupBy("host", "name", F.get("shape", F.lit(depth)).alias("child")).agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
         step = nodes.join(_merged(children, settings), ["host", "name"], "left")
         step = live.join(step, ["host", "name"])
         ends = (F.col("shapes") == 1) | ~F.col("more")
         rest = F.slice("shape", depth + 1, F.greatest(F.size("shape") - depth, F.lit(0)))
         child = F.when(F.col("merge"), F.lit("*")).otherwise(F.get("shape", F.lit(depth)))
+        outside = F.when(F.col("up_labelled").isNull(), F.col("prior")).otherwise(smoothed(F.col("up_bad") - F.col("all_bad"), F.col("up_labelled") - F.col("all_labelled"), F.col("prior")))
+        prior = F.when(F.col("more"), outside).otherwise(smoothed(F.col("below_bad"), F.col("below_labelled"), outside))
         name = F.when(ends, F.concat("name", rest)).otherwise(F.concat("name", F.array(child)))
-        step = staged(step.select("host", "shape", "pages", "labelled", "bad", name.alias("name"), ends.alias("ends")), "url-level")
+        step = staged(step.select("host", "shape", "pages", "labelled", "bad", name.alias("name"), prior.alias("prior"), F.col("all_labelled").alias("up_labelled"), F.col("all_bad").alias("up_bad"), ends.alias("ends")), "url-level")
         done.append(step.where("ends").drop("ends"))
         live = step.where("not ends").drop("ends")
         depth += 1
@@ -87,7 +98,7 @@ def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     for part in done[1:]:
         named = named.unionByName(part)
     named = named.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "name")))
-    purity = (F.sum("bad") + settings.strength * settings.prior) / (F.sum("labelled") + settings.strength)
+    purity = smoothed(F.sum("bad"), F.sum("labelled"), F.max("prior"))  # one prior a template
     judged = named.groupBy("host", "template").agg(purity.alias("purity"))
     return named.select("host", "shape", "template").join(judged, ["host", "template"]).withColumn("rejected", F.col("purity") >= settings.reject)
 
@@ -108,7 +119,7 @@ def _merged(children: DataFrame, settings: Settings) -> DataFrame:
     chi = (F.col("spread") - F.col("all_bad") * pooled) / F.nullif(pooled * (1 - pooled), F.lit(0.0))
     limit = (F.col("told") - 1) + settings.z * F.sqrt(2.0 * (F.col("told") - 1))
     variable = (F.col("children") >= settings.children) & (F.col("pages") < settings.repeats * F.col("children"))
-    alike = (F.col("told") > 1) & (F.col("told") == F.col("children")) & F.coalesce(chi <= limit, F.lit(True))
+    alike = (F.col("told") > 1) & F.coalesce(chi <= limit, F.lit(True))
     return parents.where(variable | alike).select("host", "name", F.lit(True).alias("merge"))
 
 

@@ -156,6 +156,20 @@ def test_url_levels_are_merged_from_the_root(spark):
     assert got == {**want, ("h", "about/team/us"): ("/about/team/us", False), ("h", ""): ("/", False), ("g", "a/b/c/d"): ("/a/b/c/d", False)}
 
 
+def test_url_siblings_without_labels_are_judged(spark):
+    rows = [("one", f"/en/{i}", True) for i in range(40)] + [("one", "/fr/1", None), ("one", "/", None)]
+    rows += [("few", f"/en/{i}", True) for i in range(11)] + [("few", "/fr/1", None)]
+    rows += [("two", f"/{c}/{i}", True) for c in ("a", "b") for i in range(10)] + [("two", "/c/1", None)]
+    rows += [("apart", f"/a/x/{i}", True) for i in range(40)] + [("apart", f"/b/x/{i}", False) for i in range(40)] + [("apart", "/a/y/1", None), ("apart", "/b/y/1", None)]
+    rows += [("deep", "/a/b/c/d/e/1", True), ("deep", "/a/b/c/d/e/f/1", None)]
+    found = urls.templates(spark.createDataFrame(rows, "host string, path string, blocked boolean"))
+    assert {(r["host"], r["template"]): r["rejected"] for r in found.collect()} == {
+        ("one", "/en/*"): True, ("one", "/fr/*"): True, ("one", "/"): True, ("few", "/en/*"): False, ("few", "/fr/*"): False, ("two", "/*/*"): True,
+        ("apart", "/a/x/*"): True, ("apart", "/b/x/*"): False, ("apart", "/a/y/*"): True, ("apart", "/b/y/*"): False,
+        ("deep", "/a/b/c/d/e/*"): False, ("deep", "/a/b/c/d/e/f/*"): False,
+    }
+
+
 def test_ppm_is_a_distribution_and_exact():
     """Against a plain trie with escapes and exclusion, symbol by symbol."""
     data = np.frombuffer(b"abracadabra abracabra" * 3 + b"xyz", np.uint8)
