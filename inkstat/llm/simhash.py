@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, slices, staged
@@ -59,16 +59,17 @@ def fingerprint_batch(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long); null texts have no words."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the long column `row` if one is named; null texts have no words."""
+    own = [row] if row else []
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 fp = fingerprint_batch(pc.fill_null(column(part, "text"), "").to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(fp.view(np.int64)), *(column(part, c) for c in own)], ["doc_id", "fp", *own])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *own).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *own)))
 
 
 #: Widths of the six blocks; two of them agree wherever at most four bits differ.
@@ -191,6 +192,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _components(rows: DataFrame, least: Column, bits: int, bucket: int) -> DataFrame:
+    """fp, copies, component_id of every distinct fingerprint: the smallest value of the aggregate `least` that links of at most `bits` bits reach."""
+    classes = staged(rows.groupBy("fp").agg(least.alias("least"), F.count("*").alias("copies")), "classes")
+    labels = components(links(classes, bits, bucket)).withColumnRenamed("node", "fp")
+    linked = labels.join(classes.select("fp", "least"), "fp")
+    named = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
+    return staged(classes.join(named, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")), "named")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links of at most `bits` bits reach.
 
@@ -199,31 +209,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, b
     names a component that has another id.
     """
     rows = staged(fingerprints(docs, shingle), "simhash")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    labels = components(links(classes, bits, bucket)).withColumnRenamed("node", "fp")
-    linked = labels.join(classes.select("fp", "least"), "fp")
-    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "label").select("fp", "component_id")
-    named = staged(classes.join(named, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")), "named")
+    named = _components(rows, F.min("doc_id"), bits, bucket)
     # fingerprints of more than a thousandth of all rows, fewer than a thousand of them, meet their rows without a shuffle
-    most = (classes.agg(F.sum("copies").alias("n")).first()["n"] or 0) / HOT
+    most = (named.agg(F.sum("copies").alias("n")).first()["n"] or 0) / HOT
     hot = named.where(F.col("copies") > most).select("fp", "component_id")
     cold = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.where(F.col("copies") <= most), "fp")
     return cold.select("doc_id", "fp", "component_id").unionByName(rows.join(F.broadcast(hot), "fp").select("doc_id", "fp", "component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The rows of docs without all but one row (smallest doc_id) of each component; of equal rows one stays.
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """The rows of docs without all but one row of each component.
 
-    What is kept grows with the input, so the texts are dealt out by id and merged with it at every size.
+    Rows are numbered first, by partition and row.  The one with the smallest doc_id stays, null
+    last and of equal ones the least number, so ids that are null or repeat decide for no other row.
+    What is kept grows with the input, so the texts are dealt out by number and merged with it at every size.
     """
-    found = near_duplicates(docs, shingle, bits)
-    first = found.where("doc_id is null or doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"), F.min("component_id").alias("__id"))
-    first = staged(first.where("__kept is not null or __id is null"), "kept")
-    chosen = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept"))
-    once = docs.join(first.where("__rows = 1").select("__kept").hint("merge"), chosen, "left_semi")
-    again = docs.join(first.where("__rows > 1").select("__kept"), chosen, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+    docs = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = fingerprints(docs, shingle, "__row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row"))
+    kept = _components(rows, least, bits, bucket).select(F.col("component_id.__row").alias("__row")).distinct()
+    return docs.join(kept.hint("merge"), "__row", "left_semi").drop("__row")
 
 
 def op9_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

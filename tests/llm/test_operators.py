@@ -342,6 +342,13 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_component_is_kept_whatever_its_id(spark):
+    a, b, c, d = (" ".join(f"{name}{i}" for i in range(40)) for name in "abcd")
+    rows = [(None, a), (None, b), (7, a), (5, a + " "), (5, c), (6, c), (5, c), (None, d), (None, d.upper()), (None, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(((r["doc_id"], lower(r["text"]).strip()) for r in kept.collect()), key=str) == sorted([(5, a), (None, b), (5, c), (None, d), (None, "")], key=str)
+
+
 @pytest.mark.parametrize("bucket", [20_000, 5])
 def test_simhash_links_are_complete(spark, bucket):
     rng = np.random.default_rng(8)
