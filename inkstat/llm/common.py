@@ -34,11 +34,45 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+#: Folders that `staged` wrote and nobody discarded yet, in order.
+_MADE: list[str] = []
+
+
 def staged(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write df as Parquet below the shared folder and read it again; this cuts its lineage."""
     path = f"{staging_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _MADE.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        path = table if isinstance(table, str) else table.staged_at
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+def staged_since(before: int = 0) -> list[str]:
+    """What was staged after the first `before` tables that are there; staged_since() counts them."""
+    return _MADE[before:]
+
+
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with every column but the used ones renamed by place, so that no name clashes; toDF(*docs.columns) undoes it."""
+    return docs.toDF(*(c if c in used else f"__in_{i}" for i, c in enumerate(docs.columns)))
+
+
+def put_back(rows: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    """Undoes set_aside on rows that carry `added` behind the columns of docs; columns of docs that have such a name give way."""
+    out = rows.toDF(*(f"__in_{i}" for i in range(len(docs.columns))), *added)
+    taken = {a.lower() for a in added}
+    return out.select(*(out[f"__in_{i}"].alias(c) for i, c in enumerate(docs.columns) if c.lower() not in taken), *added)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
