@@ -13,28 +13,41 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Turn numbers of one chunk; longer conversations are hashed chunk by chunk.
-CHUNK = 1024
+#: Turns of one rendered part; longer conversations are rendered in several.
+PART = 1024
 ROLES = {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>"}
+_ORDER = ("turn", "role", "key")
 
 
-def prefix_hashes(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """conv_id, place (from 1), h1, h2: 128 bits over (place, role, text) of a conversation's first turns.
+def numbered(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, key, chunk: turns in order of conversation, number (null first), role and text, written once.
 
-    Turns are taken by number (null first), then role and text.
+    chunk is the range of that order a row lies in.  Ranges are even whatever conv_id
+    holds, a null one or that of a third of all rows too, and equal rows may part.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))).alias("chunk"), "role", F.sha2("text", 256).alias("text"))
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")))
-    sizes = staged(rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")), "chat-chunks")
-    ahead = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("conv_id", "chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    rows = _join(rows, sizes).withColumn("place", F.col("ahead") + F.col("row"))
-    whole = (F.col("place"), F.coalesce("role", F.lit("\x00")), F.coalesce("text", F.lit("\x00")))
+    rows = turns.select("conv_id", "turn", "role", "text", F.sha2("text", 256).alias("key"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("conv_id", *_ORDER, "row").drop("row")
+    return staged(rows.withColumn("chunk", F.spark_partition_id()), "chat-turns")
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """rows of numbered() with place, their number within the conversation from 1, in windows of one chunk."""
+    ahead = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    sizes = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).select("conv_id", "chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy(*_ORDER)))
+    return _join(rows, sizes).withColumn("place", F.col("ahead") + F.col("row")).drop("ahead", "row")
+
+
+def prefix_hashes(rows: DataFrame) -> DataFrame:
+    """conv_id, place, h1, h2: 128 bits over (place, role, text) of a conversation's first turns; rows: of numbered()."""
+    rows = places(rows.drop("text"))
+    whole = (F.col("place"), F.coalesce("role", F.lit("\x00")), F.coalesce("key", F.lit("\x00")))
     rows = rows.select("conv_id", "chunk", "place", F.xxhash64(F.lit(1), *whole).alias("x1"), F.xxhash64(F.lit(2), *whole).alias("x2"))
     sofar = Window.partitionBy("conv_id", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("conv_id", "chunk", "place", *(F.bit_xor(f"x{k}").over(sofar).alias(f"x{k}") for k in (1, 2)))
-    ends = rows.groupBy("conv_id", "chunk").agg(*(F.max_by(f"x{k}", "place").alias(f"y{k}") for k in (1, 2)))
+    ahead = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("conv_id", "chunk").agg(*(F.bit_xor(f"x{k}").alias(f"y{k}") for k in (1, 2)))
     ends = ends.select("conv_id", "chunk", *(F.coalesce(F.bit_xor(f"y{k}").over(ahead), F.lit(0)).alias(f"y{k}") for k in (1, 2)))
+    rows = rows.select("conv_id", "chunk", "place", *(F.bit_xor(f"x{k}").over(sofar).alias(f"x{k}") for k in (1, 2)))
     return _join(rows, ends).select("conv_id", "place", *(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}")).alias(f"h{k}") for k in (1, 2)))
 
 
@@ -43,9 +56,12 @@ def _join(rows: DataFrame, other: DataFrame) -> DataFrame:
     return rows.join(other, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("chunk") == F.col("__chunk"))).drop("__conv", "__chunk")
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, copies: conversations that begin no longer one, the smallest id of equal ones."""
-    hashes = staged(prefix_hashes(turns), "chat-prefixes")
+def maximal(rows: DataFrame) -> DataFrame:
+    """conv_id, n_turns, copies: conversations that begin no longer one, the smallest id of equal ones; rows: of numbered().
+
+    All rows with a null id are one conversation; of equal ones it stays only where no other is.
+    """
+    hashes = staged(prefix_hashes(rows), "chat-prefixes")
     last = hashes.groupBy("conv_id").agg(F.max_by(F.struct("place", "h1", "h2"), "place").alias("last"))
     whole = last.groupBy("last.place", "last.h1", "last.h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     sizes = last.select(F.col("conv_id").alias("__conv"), F.col("last.place").alias("size"))
@@ -53,34 +69,33 @@ def maximal(turns: DataFrame) -> DataFrame:
     return whole.join(inner, ["place", "h1", "h2"], "left_anti").select("conv_id", F.col("place").alias("n_turns"), "copies")
 
 
-def render(turns: DataFrame, kept: DataFrame, roles: dict[str, str] = ROLES, end: str = "<|end|>") -> DataFrame:
-    """kept plus chat: its turns in order, each as its role's mark, a newline, the text and the end mark.
+def render(rows: DataFrame, kept: DataFrame, roles: dict[str, str] = ROLES, end: str = "<|end|>", part: int = PART) -> DataFrame:
+    """kept plus part (from 0) and chat: each `part` turns of a conversation in order, each as its role's mark, a newline, the text and the end mark.
 
-    An unknown role is named between <| and |>; a null role is `none`; a null
-    text is empty.  Several conversations may have a null id: they are one.
+    A conversation's parts one after another are its chat, so that no row holds more
+    than `part` turns.  An unknown role is named between <| and |>; a null role is
+    `none`; a null text is empty.  rows: of numbered().
     """
     mark = F.concat(F.lit("<|"), F.coalesce("role", F.lit("none")), F.lit("|>"))
     for role, text in roles.items():
         mark = F.when(F.col("role") == role, text).otherwise(mark)
     line = F.concat(mark, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end), F.lit("\n"))
     mine = kept.withColumnRenamed("conv_id", "__conv")
-    rows = turns.select("conv_id", "turn", "role", F.sha2("text", 256).alias("key"), line.alias("line")).join(mine, F.col("conv_id").eqNullSafe(F.col("__conv")))
-    rows = rows.groupBy("conv_id").agg(F.first("n_turns").alias("n_turns"), F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("turn", "role", "key", "line"))).alias("t"))
-    return rows.select("conv_id", "n_turns", "copies", F.concat_ws("", "t.line").alias("chat"))
+    lines = places(rows.join(mine, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")).select("conv_id", "n_turns", "copies", "place", F.floor((F.col("place") - 1) / part).alias("part"), line.alias("line"))
+    lines = lines.groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("place", "line"))).alias("t"))
+    return lines.select("conv_id", "n_turns", "copies", "part", F.concat_ws("", "t.line").alias("chat"))
 
 
 def op3_snapshot_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return render(turns, maximal(turns))
+    rows = numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return render(rows, maximal(rows))
 
 
 OP3_SQL = """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, sha256(text) AS key FROM conversations),
-c AS (SELECT conv_id, list({'role': role, 'key': key} ORDER BY turn NULLS FIRST, role NULLS FIRST, key NULLS FIRST) AS l,
-             string_agg(CASE WHEN role IS NULL THEN '<|none|>' ELSE '<|' || role || '|>' END || chr(10) || text || '<|end|>' || chr(10), ''
-                        ORDER BY turn NULLS FIRST, role NULLS FIRST, key NULLS FIRST) AS chat
-      FROM t GROUP BY conv_id),
+WITH t AS (SELECT conv_id, role, coalesce(text, '') AS text, sha256(text) AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, sha256(text) NULLS FIRST) AS place FROM conversations),
+c AS (SELECT conv_id, list({'role': role, 'key': key} ORDER BY place) AS l FROM t GROUP BY conv_id),
+r AS (SELECT conv_id, (place - 1) // 1024 AS part, string_agg(CASE WHEN role IS NULL THEN '<|none|>' ELSE '<|' || role || '|>' END || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY place) AS chat FROM t GROUP BY 1, 2),
 p AS (SELECT DISTINCT l[1:n] AS l FROM (SELECT l, unnest(generate_series(1, len(l) - 1)) AS n FROM c)),
-w AS (SELECT l, min(conv_id) AS conv_id, count(*) AS copies, any_value(chat) AS chat FROM c GROUP BY l)
-SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, copies, chat FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = w.l)
+w AS (SELECT l, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY l)
+SELECT w.conv_id, CAST(len(l) AS BIGINT) AS n_turns, copies, part, chat FROM w JOIN r ON w.conv_id IS NOT DISTINCT FROM r.conv_id WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = w.l)
 """
