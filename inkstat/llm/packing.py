@@ -3,14 +3,17 @@
 Every document is cut into full windows and a remainder.  The remainders'
 histogram (at most window-1 counts) is all that the driver sees: it enumerates
 pairs and triples of lengths that fill a window, solves their repeat counts by
-non-negative least squares, rounds them within the histogram, and lays what is
-left end to end, cutting where a window fills.  The tail of that residual is
-cut at powers of two, which need no padding.
+non-negative least squares, and rounds them within the histogram.  The residual
+is packed greedily, the longest piece first and then whatever is longest of
+those that still fit; what no such sequence fills to the end is laid end to end,
+cutting where a window fills.  The tail is cut at powers of two, which need no
+padding.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,10 +40,11 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
 
 
-def solve(combos: np.ndarray, histogram: np.ndarray, steps: int = 150) -> np.ndarray:
+def solve(combos: np.ndarray, histogram: np.ndarray, steps: int = 400, gain: float = 1e-3) -> np.ndarray:
     """Non-negative least squares: repeat counts x for which the combos' lengths come near the histogram.
 
-    Multiplicative steps x * A'h / A'Ax keep x non-negative and never raise the error.
+    Multiplicative steps x * A'h / A'Ax keep x non-negative and never raise the error;
+    they end when ten of them lower it by less than the share `gain`.
     """
     h = histogram.astype(float)
     h[0] = 0
@@ -56,11 +60,47 @@ def solve(combos: np.ndarray, histogram: np.ndarray, steps: int = 150) -> np.nda
 
     target = back(h)
     x = np.full(len(combos), h.sum() / max(1, 3 * len(combos)))
-    for _ in range(steps):
-        x *= target / np.maximum(back(times(x)), 1e-12)
+    last = np.inf
+    for k in range(steps):
+        made = times(x)
+        if k % 10 == 0:
+            error = float(((made - h) ** 2).sum())
+            if error > (1 - gain) * last:
+                break
+            last = error
+        x *= target / np.maximum(back(made), 1e-12)
     return x
 
 
+def greedy(rest: list[int], window: int) -> list[tuple[list[int], int]]:
+    """Sequences that the longest piece left, then always the longest that fits, fill to the end: their lengths and how many of each.
+
+    rest[l]: pieces of l tokens; what goes into sequences is taken out of it.
+    """
+    made = []
+    there = [n for n in range(1, window) if rest[n]]
+    for start in reversed(there.copy()):
+        while rest[start]:
+            used: dict[int, int] = {start: 1}
+            gap, at = window - start, bisect_right(there, window - start)
+            while gap and at:
+                n = there[at - 1]
+                take = min(rest[n] - used.get(n, 0), gap // n)
+                if take > 0:
+                    used[n] = used.get(n, 0) + take
+                    gap -= take * n
+                at = min(at - 1, bisect_right(there, gap))
+            if gap:
+                break  # no end without a cut
+            repeats = min(rest[n] // k for n, k in used.items())
+            made.append(([n for n, k in used.items() for _ in range(k)], repeats))
+            for n, k in used.items():
+                rest[n] -= repeats * k
+                if not rest[n]:
+                    there.remove(n)
+    return made
+
+
 @dataclass
 class Plan:
     """slots: from which rank of which length on (length << 40 | rank) a piece goes to which sequence and offset."""
@@ -71,7 +111,7 @@ class Plan:
     offset: np.ndarray
     covered: np.ndarray  # by length: ranks below go to a combination
     base: np.ndarray  # by length: where its residual begins in the residual's stream
-    sequences: int  # of combinations
+    sequences: int  # of combinations and of the greedy part
     stream: int  # tokens of the residual
     count: int = 0  # sequences in all, without the full windows
 
@@ -101,9 +141,9 @@ def make_plan(histogram: np.ndarray, window: int = WINDOW) -> Plan:
     left[0] = 0
     combos = combinations(np.flatnonzero(left), window)
     repeats = np.zeros(len(combos), np.int64)
+    rest = left.tolist()
     if len(combos):
         x = solve(combos, left)
-        rest = left.tolist()
         for j in np.argsort(-x, kind="stable").tolist():
             a, b, c = combos[j].tolist()
             want = int(np.ceil(x[j] - 1e-9))
@@ -120,14 +160,14 @@ def make_plan(histogram: np.ndarray, window: int = WINDOW) -> Plan:
                 for k in (a, b, c):
                     if k:
                         rest[k] -= n
-    used = np.flatnonzero(repeats)
-    n, combos = repeats[used], combos[used]
+    filled = [([v for v in combos[j].tolist() if v], int(repeats[j])) for j in np.flatnonzero(repeats).tolist()] + greedy(rest, window)
+    n = np.array([times for _, times in filled], np.int64)
     first = np.cumsum(n) - n
-    slot_length = np.concatenate([combos[:, k] for k in range(3)])
-    slot_offset = np.concatenate([np.zeros(len(n), np.int64), combos[:, 0], combos[:, 0] + combos[:, 1]])
-    slot_first, slot_n = np.tile(first, 3), np.tile(n, 3)
-    keep = slot_length > 0
-    slot_length, slot_offset, slot_first, slot_n = (v[keep] for v in (slot_length, slot_offset, slot_first, slot_n))
+    of = np.repeat(np.arange(len(filled)), [len(lengths) for lengths, _ in filled]) if filled else np.zeros(0, np.int64)
+    slot_length = np.array([v for lengths, _ in filled for v in lengths], np.int64)
+    begin = np.cumsum(slot_length) - slot_length
+    slot_offset = begin - begin[np.searchsorted(of, of)] if len(of) else begin
+    slot_first, slot_n = first[of], n[of]
     order = np.argsort(slot_length, kind="stable")
     slot_length, slot_offset, slot_first, slot_n = (v[order] for v in (slot_length, slot_offset, slot_first, slot_n))
     running = np.cumsum(slot_n) - slot_n
@@ -175,7 +215,7 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 
 def pack(docs: DataFrame, end_id: int = 1, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """Pieces of every document and where they lie; see PIECE_SCHEMA.
+    """Pieces of every document and where they lie; see PIECE_SCHEMA.  Other columns of docs are not looked at.
 
     A null text is empty and holds its end id alone.  Rows that share a doc_id
     are packed as documents of their own.  An empty table gives no rows.
