@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import ALNUM, column, slices, staged, text_bytes, word_hashes, words
+from .common import ALNUM, column, put_back, set_aside, slices, staged, text_bytes, word_hashes, words
 from .fm_index import FmIndex
 
 WINDOW = 13
 #: Benchmark text that one pass searches for; a larger benchmark takes more passes.
 PASS_BYTES = 4 << 20
+#: Text of one shard, which gets an index of its own; one longer document is a shard alone.
+SHARD_BYTES = 8 << 20
 _EXTRA = [StructField("__words", LongType()), StructField("__spans", ArrayType(LongType())), StructField("__items", ArrayType(StringType()))]
 
 
@@ -92,8 +94,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes
     """docs plus __words (their number), __spans (begin, end, begin, ...: merged hit words) and __items (ids of items with hits).
 
     A null text has no words.  Items without words are ignored; a null item_id
-    hits but is not listed.  docs must not have columns of the three names.
+    hits but is not listed.  Rows are marked one by one, whatever their ids.
+    Columns of docs that have one of the three names give way.
     """
+    return put_back(_marked(set_aside(docs, "text"), benchmark, window, pass_bytes), docs, *(f.name for f in _EXTRA))
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -105,7 +112,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes
         phrases = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["text"]) for r in chosen.collect()], window))  # about pass_bytes
 
         def run(batches, phrases=phrases, k=k):
-            for batch in batches:
+            for batch in (shard for whole in batches for shard in slices(whole, most=SHARD_BYTES)):
                 hashes, counts = [], []
                 for part in slices(batch):
                     data, offsets = text_bytes(column(part, "text"))
@@ -146,8 +153,9 @@ def contaminated():
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents of which less than a twentieth lies inside occurrences."""
-    return mark(docs, benchmark, window).where(~contaminated()).drop("__words", "__spans", "__items")
+    """Documents of which less than a twentieth lies inside occurrences; all their columns stay, whatever their names."""
+    rows = _marked(set_aside(docs, "text"), benchmark, window).where(~contaminated())
+    return rows.drop("__words", "__spans", "__items").toDF(*docs.columns)
 
 
 def cut_spans(text: str, spans: list[int]) -> str:

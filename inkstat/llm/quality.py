@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType  # noqa: F401
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import NOT_SPACE, column, slices, text_bytes, word_hashes, words
+from .common import NOT_SPACE, column, put_back, set_aside, slices, text_bytes, word_hashes, words
 from .lm_score import remainder
 
 #: Labelled documents that the model is fitted on, about (chosen by a hash of the id).
@@ -196,7 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Gam:
 
 
 def scored(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, least: float | None = None) -> DataFrame:
-    """docs plus score and predicted; with `least`, only rows whose score reaches it, without the two columns."""
+    """docs plus score and predicted; with `least`, only rows whose score reaches it, without the two columns.
+
+    Rows are scored one by one, whatever their ids; a null text scores as an empty one.
+    Columns of docs called score or predicted give way to the new ones, or stay with `least`.
+    """
+    given, docs = docs, set_aside(docs, "text")
     names = [f.name for f in docs.schema.fields]
     extra = [] if least is not None else [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
     spread = docs.sparkSession.sparkContext.broadcast(model)  # bins and pairs are fixed in number
@@ -210,7 +215,8 @@ def scored(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, least: flo
                 else:
                     yield pa.RecordBatch.from_arrays([*(column(part, c) for c in names), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *extra]))
+    rows = docs.mapInArrow(run, StructType([*docs.schema.fields, *extra]))
+    return put_back(rows, given, "score", "predicted") if least is None else rows.toDF(*given.columns)
 
 
 def op8_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
