@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, slices, staged
+from .common import column, discard, set_aside, slices, staged
 
 SHINGLE, SEED, BITS = 4, 42, 4
 PIVOTS = 16
@@ -187,18 +187,23 @@ def components(edges: DataFrame) -> DataFrame:
         low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         far = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
         moved = staged(low.join(far, "new").select("node", F.col("label").alias("old"), F.least("new", "jump").alias("label")), "labels")
-        labels = moved.select("node", "label")
+        discard(edges.sparkSession, labels)
+        labels = moved.drop("old")
+        labels.staged_at = moved.staged_at
         if not moved.where("old != label").limit(1).count():
+            discard(edges.sparkSession, edges)
             return labels
 
 
 def _components(rows: DataFrame, least: Column, bits: int, bucket: int) -> DataFrame:
     """fp, copies, component_id of every distinct fingerprint: the smallest value of the aggregate `least` that links of at most `bits` bits reach."""
     classes = staged(rows.groupBy("fp").agg(least.alias("least"), F.count("*").alias("copies")), "classes")
-    labels = components(links(classes, bits, bucket)).withColumnRenamed("node", "fp")
-    linked = labels.join(classes.select("fp", "least"), "fp")
+    labels = components(links(classes, bits, bucket))
+    linked = labels.withColumnRenamed("node", "fp").join(classes.select("fp", "least"), "fp")
     named = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
-    return staged(classes.join(named, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")), "named")
+    out = staged(classes.join(named, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")), "named")
+    discard(rows.sparkSession, labels, classes)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
@@ -223,12 +228,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, bucket:
     Rows are numbered first, by partition and row.  The one with the smallest doc_id stays, null
     last and of equal ones the least number, so ids that are null or repeat decide for no other row.
     What is kept grows with the input, so the texts are dealt out by number and merged with it at every size.
+    All columns stay, whatever their names.
     """
+    given, docs = docs, set_aside(docs, "doc_id", "text")
     docs = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     rows = fingerprints(docs, shingle, "__row")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row"))
     kept = _components(rows, least, bits, bucket).select(F.col("component_id.__row").alias("__row")).distinct()
-    return docs.join(kept.hint("merge"), "__row", "left_semi").drop("__row")
+    return docs.join(kept.hint("merge"), "__row", "left_semi").drop("__row").toDF(*given.columns)
 
 
 def op9_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
