@@ -97,36 +97,67 @@ def test_spans_are_cut():
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((600, 20)).tolist()
-    v[5], v[6], v[7], v[8], v[40], v[41] = None, [0.0] * 20, [None] + [1.0] * 19, [float("nan")] * 20, v[60], v[60]
-    table = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, score int")
-    use = ann.usable(table)
+    v[5], v[6], v[7], v[8], v[9], v[40], v[41] = None, [0.0] * 20, [None] + [1.0] * 19, [float("nan")] * 20, [], v[60], v[60]
+    rows = list(enumerate(v)) + [(600 + i, x) for i, x in enumerate(rng.standard_normal((50, 3)).tolist())]  # another width
+    rows += [(None, v[60]), (None, v[61]), (20, v[100]), (20, v[20]), (640, [9.0] * 20), (660, [1.0])]  # no id, ids that repeat, one alone in its width
+    table = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, embedding array<float>, score int")
     got = {}
-    for r in ann.search(use, use.where("vec_id % 20 = 0"), block=7).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    ids = [i for i in range(600) if i not in (5, 6, 7, 8)]
-    m = np.array([np.array(v[i], np.float32) for i in ids], float)
-    share = []
-    for q in range(0, 600, 20):
-        s = m @ m[ids.index(q)]
-        best = [ids[k] for k in np.lexsort((ids, -s)) if ids[k] != q][:20]
-        mine = sorted(got[q])
-        assert [r for r, _, _ in mine] == list(range(1, 21))
-        assert all(abs(score - s[ids.index(i)]) < 1e-9 for _, i, score in mine)
-        share.append(len(set(best) & {i for _, i, _ in mine}) / 20)
+    for r in ann.search(table.repartition(3), F.col("vec_id") % 20 == 0, block=7).collect():
+        got.setdefault(r["query_row"], []).append((r["rank"], r["query_id"], r["vec_id"], r["score"]))
+    usable = [(i, np.array(x, np.float32).astype(float)) for i, x in rows if x and None not in x and any(x) and not np.isnan(x).any()]
+    want, share = [], []
+    for a, (q, x) in enumerate(usable):
+        if q is not None and q % 20 == 0:
+            others = sorted((-float(y @ x), i is None, i or 0) for b, (i, y) in enumerate(usable) if b != a and len(y) == len(x))
+            want.append((q, [-s for s, _, _ in others][:20], [None if n else i for _, n, i in others][:20]))
+    mine = [([x[1] for x in r][0], [x[3] for x in r], [x[2] for x in r]) for r in map(sorted, got.values())]
+    assert all([x[0] for x in sorted(r)] == list(range(1, len(r) + 1)) for r in got.values())
+    want = [w for w in want if w[1]]
+    assert len(mine) == len(want) and sorted(len(x[1]) for x in mine) == sorted(len(x[1]) for x in want)
+    for q, scores, ids in mine:
+        near = min((w for w in want if w[0] == q and len(w[1]) == len(scores)), key=lambda w: float(np.abs(np.array(w[1]) - scores).sum()))
+        share.append(sum(abs(a - b) < 1e-9 for a, b in zip(scores, near[1])) / len(scores))
+        if share[-1] == 1:
+            assert ids == near[2]
     assert np.mean(share) >= 0.95
-    assert ann.search(use.limit(0), use.limit(0)).count() == 0
+    doubles = table.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    assert ann.search(doubles, F.col("vec_id") == 20, k=3).count() == 9
+    assert ann.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_turning_keeps_inner_products():
+    v = np.random.default_rng(4).standard_normal((30, 100))
+    assert np.allclose(ann.turned(v) @ ann.turned(v).T, v @ v.T) and ann.turned(v[:, :1]).shape == (30, 1)
 
 
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 5000, "assistant", "yes"), (4, None, None, None), (4, 1, "tool", "x"), (5, 0, "user", "no")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat.numbered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = {r["conv_id"]: (r["n_turns"], r["copies"], r["chat"]) for r in chat.render(turns, chat.maximal(turns)).collect()}
     assert got == {
         2: (2, 2, "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n"),
         4: (2, 1, "<|none|>\n<|end|>\n<|tool|>\nx<|end|>\n"),
         5: (1, 1, "<|user|>\nno<|end|>\n"),
     }
-    assert chat.maximal(turns.limit(0)).count() == 0
+    assert chat.maximal(chat.numbered(turns.limit(0))).count() == 0
+
+
+def test_chat_of_ids_that_are_null_or_hold_most_turns(spark):
+    long = [(9, i // 3, "user", f"turn {i % 7}") for i in range(5000)]
+    rows = long + [(None, i, r, t) for i, (_, _, r, t) in enumerate(long[:2000])] + [(8, *x[1:]) for x in long[:2400]] + [(1, None, None, "")] * 3 + [(7, None, None, "")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    turns = chat.numbered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert turns.where("conv_id = 9").select("chunk").distinct().count() > 1
+    kept = chat.maximal(turns)
+    # turns are ordered by the hash of the text within a number
+    line = lambda x: f"<|{x[2] or 'none'}|>\n{x[3]}<|end|>\n"
+    want = {i: "".join(line(x) for x in sorted((x for x in rows if x[0] == i), key=lambda x: (x[1] or 0, hashlib.sha256(x[3].encode()).hexdigest()))) for i in (None, 9, 1)}
+    parts = {}
+    for r in chat.render(turns, kept, part=100).collect():
+        parts.setdefault(r["conv_id"], {})[r["part"]] = r["chat"]
+    assert {i: "".join(p[k] for k in sorted(p)) for i, p in parts.items()} == want
+    assert sorted(parts[9]) == list(range(50)) and parts[9][3].count("<|end|>") == 100
 
 
 def test_urls(spark):
@@ -248,6 +279,9 @@ def test_language(spark, docs, none):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     langs, model = language_id.fit(none, F.lit(True))
     assert [r["lang_pred"] for r in language_id.identify(asked, langs, model).collect()] == ["und"] * 6
+    # with a sample bound in bytes, one long text can't crowd out a language
+    many = spark.createDataFrame([(i, en + str(i), "en") for i in range(400)] + [(1000, de * 3000, "de"), (1001, de, "de")], "doc_id long, text string, lang string")
+    assert language_id.fit(many, F.lit(True), sample=4000)[0][-1] == "en"
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
@@ -302,10 +336,10 @@ def test_quality(spark, docs, none):
     model = quality.fit(table, labels, lm_score.remainder("doc_id", 5) != 0)
     got = quality.scored(table, model).collect()
     assert np.mean([r["predicted"] == int(r["doc_id"] % 3 > 0) for r in got]) > 0.98
-    again = quality.scored(docs.drop("score"), model).collect()
+    again = quality.scored(docs, model).collect()
     assert len(again) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in again)
     assert quality.scored(docs, model, least=2.0).count() == 0 and quality.scored(docs, model, least=0.0).columns == docs.columns
-    assert quality.scored(docs.drop("score"), quality.fit(none, labels, F.lit(True))).first()["score"] == 0.5
+    assert quality.scored(docs, quality.fit(none, labels, F.lit(True))).first()["score"] == 0.5
 
 
 def simhash_of(text):
