@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstat.llm import decontaminate, language_id, packing, quality, simhash
-from inkstat.llm.common import staged
+from inkstat.llm.common import discard, set_aside, staged, staged_since
 from inkstat.llm.lm_score import remainder
 
 
@@ -22,10 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; those without letters go."""
-    langs, model = language_id.fit(docs, remainder("doc_id", 3) != 1)
-    columns = docs.columns
-    marked = language_id.identify(docs.withColumnsRenamed({c: f"__in_{c}" for c in columns if c != "text"}), langs, model)
-    return marked.where(F.col("lang_pred") != language_id.UNKNOWN).select(*(F.col("text") if c == "text" else F.col(f"__in_{c}").alias(c) for c in columns))
+    marked = language_id.identify(set_aside(docs, "text"), *language_id.fit(docs, remainder("doc_id", 3) != 1))
+    return marked.where(F.col("lang_pred") != language_id.UNKNOWN).drop("lang_pred", "score", "bits").toDF(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  What a stage staged on the way goes once its result is written, and so does its input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    before = len(staged_since())
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, *(path for path in staged_since(before) if path != docs.staged_at))
+    return STAGES[-1][1](spark, docs, sf_dir)
