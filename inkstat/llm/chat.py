@@ -8,69 +8,87 @@ conversations the smallest id stays.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import staged
+from .common import column, partition_id, staged
 
 #: Turns of one rendered part; longer conversations are rendered in several.
 PART = 1024
 ROLES = {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>"}
-_ORDER = ("turn", "role", "key")
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, key, chunk: turns in order of conversation, number (null first), role and text, written once.
+    """z, c, role, text, key, place: turns in order of conversation, number (null first), role and text, written once.
 
-    chunk is the range of that order a row lies in.  Ranges are even whatever conv_id
-    holds, a null one or that of a third of all rows too, and equal rows may part.
+    z tells that conv_id is null, c is it or 0; place counts a conversation's turns
+    from 1.  Turns are dealt out by ranges of that order, which are even whatever
+    conv_id holds (a null one, or that of a third of all rows), and counted range by
+    range.  A range begins within one conversation at most, so that what is ahead of
+    a range's rows is a table of fewer rows than ranges.
     """
-    rows = turns.select("conv_id", "turn", "role", "text", F.sha2("text", 256).alias("key"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("conv_id", *_ORDER, "row").drop("row")
-    return staged(rows.withColumn("chunk", F.spark_partition_id()), "chat-turns")
-
-
-def places(rows: DataFrame) -> DataFrame:
-    """rows of numbered() with place, their number within the conversation from 1, in windows of one chunk."""
-    ahead = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
-    sizes = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).select("conv_id", "chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy(*_ORDER)))
-    return _join(rows, sizes).withColumn("place", F.col("ahead") + F.col("row")).drop("ahead", "row")
+    c = F.coalesce("conv_id", F.lit(0).cast(turns.schema["conv_id"].dataType))
+    rows = turns.select(F.col("conv_id").isNull().alias("z"), c.alias("c"), "turn", "role", "text", F.sha2("text", 256).alias("key"))
+    order = ("z", "c", "turn", "role", "key", "row")
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("turn", "row")
+
+    def count(batches):
+        chunk, seen, last = partition_id(), 0, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            z, c = column(batch, "z"), column(batch, "c")
+            new = np.ones(len(batch), bool)
+            new[1:] = pc.or_(pc.not_equal(z[1:], z[:-1]), pc.not_equal(c[1:], c[:-1])).to_numpy(zero_copy_only=False)
+            new[0] = (z[0], c[0]) != last
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(batch)), 0))
+            row = np.arange(len(batch)) - begin + 1
+            row += np.where(np.cumsum(new) == 0, seen, 0)
+            seen, last = int(row[-1]), (z[len(batch) - 1], c[len(batch) - 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), chunk, np.int32)), pa.array(row)], [*batch.schema.names, "chunk", "row"])
+
+    schema = StructType([*rows.schema.fields, StructField("chunk", IntegerType()), StructField("row", LongType())])
+    rows = staged(rows.mapInArrow(count, schema), "chat-turns")
+    return _after(rows, F.max("row"), F.sum).withColumn("place", F.coalesce("ahead", F.lit(0)) + F.col("row")).drop("ahead", "row")
+
+
+def _after(rows: DataFrame, one, many) -> DataFrame:
+    """rows (z, c, chunk, ...) with ahead: `many` over `one` of the same conversation's chunks before, null in its first."""
+    sizes = rows.groupBy("z", "c", "chunk").agg(one.alias("one"))
+    ahead = many("one").over(Window.partitionBy("z", "c").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))  # a row a chunk
+    ahead = sizes.withColumn("ahead", ahead).where("ahead is not null").drop("one")
+    return rows.join(F.broadcast(ahead), ["z", "c", "chunk"], "left")  # fewer rows than chunks
 
 
 def prefix_hashes(rows: DataFrame) -> DataFrame:
-    """conv_id, place, h1, h2: 128 bits over (place, role, text) of a conversation's first turns; rows: of numbered()."""
-    rows = places(rows.drop("text"))
+    """z, c, place, h1, h2: 128 bits over (place, role, text) of a conversation's first turns; rows: of numbered()."""
     whole = (F.col("place"), F.coalesce("role", F.lit("\x00")), F.coalesce("key", F.lit("\x00")))
-    rows = rows.select("conv_id", "chunk", "place", F.xxhash64(F.lit(1), *whole).alias("x1"), F.xxhash64(F.lit(2), *whole).alias("x2"))
-    sofar = Window.partitionBy("conv_id", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy("conv_id", "chunk").agg(*(F.bit_xor(f"x{k}").alias(f"y{k}") for k in (1, 2)))
-    ends = ends.select("conv_id", "chunk", *(F.coalesce(F.bit_xor(f"y{k}").over(ahead), F.lit(0)).alias(f"y{k}") for k in (1, 2)))
-    rows = rows.select("conv_id", "chunk", "place", *(F.bit_xor(f"x{k}").over(sofar).alias(f"x{k}") for k in (1, 2)))
-    return _join(rows, ends).select("conv_id", "place", *(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}")).alias(f"h{k}") for k in (1, 2)))
-
-
-def _join(rows: DataFrame, other: DataFrame) -> DataFrame:
-    other = other.withColumnsRenamed({"conv_id": "__conv", "chunk": "__chunk"})
-    return rows.join(other, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("chunk") == F.col("__chunk"))).drop("__conv", "__chunk")
+    rows = rows.select("z", "c", "chunk", "place", *(F.xxhash64(F.lit(k), *whole).alias(f"x{k}") for k in (1, 2)))
+    for k in (1, 2):
+        rows = _after(rows, F.bit_xor(f"x{k}"), F.bit_xor).withColumnRenamed("ahead", f"y{k}")
+    sofar = Window.partitionBy("z", "c", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("z", "c", "place", *(F.bit_xor(f"x{k}").over(sofar).bitwiseXOR(F.coalesce(f"y{k}", F.lit(0))).alias(f"h{k}") for k in (1, 2)))
 
 
 def maximal(rows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, copies: conversations that begin no longer one, the smallest id of equal ones; rows: of numbered().
+    """z, c, n_turns, copies: conversations that begin no longer one, the smallest id of equal ones; rows: of numbered().
 
     All rows with a null id are one conversation; of equal ones it stays only where no other is.
     """
     hashes = staged(prefix_hashes(rows), "chat-prefixes")
-    last = hashes.groupBy("conv_id").agg(F.max_by(F.struct("place", "h1", "h2"), "place").alias("last"))
-    whole = last.groupBy("last.place", "last.h1", "last.h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
-    sizes = last.select(F.col("conv_id").alias("__conv"), F.col("last.place").alias("size"))
-    inner = hashes.join(sizes, F.col("conv_id").eqNullSafe(F.col("__conv"))).where("place < size").select("place", "h1", "h2").distinct()
-    return whole.join(inner, ["place", "h1", "h2"], "left_anti").select("conv_id", F.col("place").alias("n_turns"), "copies")
+    last = hashes.groupBy("z", "c").agg(F.max_by(F.struct("place", "h1", "h2"), "place").alias("last"))
+    whole = last.groupBy("last.place", "last.h1", "last.h2").agg(F.min(F.struct("z", "c")).alias("first"), F.count("*").alias("copies"))
+    sizes = last.select("z", "c", F.col("last.place").alias("size"))
+    inner = hashes.join(sizes, ["z", "c"]).where("place < size").select("place", "h1", "h2").distinct()
+    return whole.join(inner, ["place", "h1", "h2"], "left_anti").select("first.z", "first.c", F.col("place").alias("n_turns"), "copies")
 
 
 def render(rows: DataFrame, kept: DataFrame, roles: dict[str, str] = ROLES, end: str = "<|end|>", part: int = PART) -> DataFrame:
-    """kept plus part (from 0) and chat: each `part` turns of a conversation in order, each as its role's mark, a newline, the text and the end mark.
+    """conv_id, n_turns, copies, part (from 0), chat: each `part` turns of a kept conversation in order, each as its role's mark, a newline, the text and the end mark.
 
     A conversation's parts one after another are its chat, so that no row holds more
     than `part` turns.  An unknown role is named between <| and |>; a null role is
@@ -80,10 +98,10 @@ def render(rows: DataFrame, kept: DataFrame, roles: dict[str, str] = ROLES, end:
     for role, text in roles.items():
         mark = F.when(F.col("role") == role, text).otherwise(mark)
     line = F.concat(mark, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end), F.lit("\n"))
-    mine = kept.withColumnRenamed("conv_id", "__conv")
-    lines = places(rows.join(mine, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")).select("conv_id", "n_turns", "copies", "place", F.floor((F.col("place") - 1) / part).alias("part"), line.alias("line"))
-    lines = lines.groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("place", "line"))).alias("t"))
-    return lines.select("conv_id", "n_turns", "copies", "part", F.concat_ws("", "t.line").alias("chat"))
+    lines = rows.select("z", "c", F.floor((F.col("place") - 1) / part).alias("part"), "place", line.alias("line"))
+    parts = kept.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_turns") - 1) / part))).alias("part"))
+    lines = lines.join(parts, ["z", "c", "part"]).groupBy("z", "c", "part").agg(F.first("n_turns").alias("n_turns"), F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("place", "line"))).alias("t"))
+    return lines.select(F.when(~F.col("z"), F.col("c")).alias("conv_id"), "n_turns", "copies", "part", F.concat_ws("", "t.line").alias("chat"))
 
 
 def op3_snapshot_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
