@@ -139,7 +139,7 @@ def test_chat(spark):
         4: (2, 1, "<|none|>\n<|end|>\n<|tool|>\nx<|end|>\n"),
         5: (1, 1, "<|user|>\nno<|end|>\n"),
     }
-    assert chat.maximal(chat.numbered(turns.limit(0))).count() == 0
+    assert chat.maximal(turns.limit(0)).count() == 0 and chat.render(turns.limit(0), chat.maximal(turns)).count() == 0
 
 
 def test_chat_of_ids_that_are_null_or_hold_most_turns(spark):
@@ -148,7 +148,7 @@ def test_chat_of_ids_that_are_null_or_hold_most_turns(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     turns = chat.numbered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert turns.where("conv_id = 9").select("chunk").distinct().count() > 1
+    assert turns.where("c = 9").select("chunk").distinct().count() > 1
     kept = chat.maximal(turns)
     # turns are ordered by the hash of the text within a number
     line = lambda x: f"<|{x[2] or 'none'}|>\n{x[3]}<|end|>\n"
