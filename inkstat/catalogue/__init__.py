@@ -241,7 +241,8 @@ add(
 
 # editing
 add("cleanup_text", lambda d: d.select("doc_id", editing.cleaned(F.col("text")).alias("cleaned")))
-add("cleanup_report", lambda d: editing.clean_protected(d).select(F.explode("changes").alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("changes")))
+# outer: to leave out empty maps beforehand Spark would run all rules once more for each
+add("cleanup_report", lambda d: editing.clean_protected(d).select(F.explode_outer("changes").alias("rule", "n")).where("rule is not null").groupBy("rule").agg(F.sum("n").alias("changes")))
 add("replace_sentences", lambda d: editing.replaced(d, editing.sentence_table(d).where("sentence_id = 1").select("doc_id", F.lit(1).alias("id"), F.col("sentence").alias("original"), F.lit("A new beginning.").alias("text"))))
 
 

@@ -20,6 +20,18 @@ CLOSINGS = [
     r"(In conclusion,?)", r"(In summary,?)", r"(To sum up,?)", r"(Whether you're .+ or .+,.+offers)", r"(Both sides present valid)", r"(As (I|we) progress|move forward|continue)",
 ]
 
+#: What a text that a formula matches holds in lower case, any of it.
+FORMULA_WORDS = dict(
+    zip(
+        [*OPENINGS, *CLOSINGS],
+        [
+            ["in today's "], ["in an era where"], ["have you ever wondered"], ["in the realm of"], ["when it comes to"], [" is one of the most "],
+            ["in conclusion"], ["in summary"], ["to sum up"], ["whether you're "], ["both sides present valid"], ["progress", "move forward", "continue"],
+        ],
+        strict=True,
+    )
+)
+
 # Transition words.
 TRANSITIONS = ["firstly", "secondly", "thirdly", "finally", "moreover", "furthermore", "additionally", "however", "therefore", "consequently"]
 

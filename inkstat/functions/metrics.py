@@ -8,12 +8,13 @@ own, so that costly parts are computed once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .text import alternatives, bounded, count, count_runs, count_split, count_words, paragraphs, per, sentences, split_words, strip, syllables
+from .text import alternatives, bounded, count, count_chars, count_literal, count_runs, count_split, count_words, if_there, paragraphs, per, sentences, split_words, strip, syllables
 
 Layers = list[dict[str, Column]]
 Name = Callable[[str], Column]
@@ -59,15 +60,16 @@ def vocabulary(text, c: Name) -> Layers:
 
 
 def punctuation(text, c: Name) -> Layers:
+    """Patterns begin with the last letter of a word: as many matches as with the whole word, none begun in vain."""
     n = lambda p: count(text, p)
     share = lambda a, b: F.when(c(a) + c(b) > 0, F.greatest(c(a), c(b)) * 100.0 / (c(a) + c(b))).otherwise(F.lit(0.0))
     ratio = lambda a: F.when(c("em_dashes") > 0, c(a) * 1.0 / c("em_dashes")).otherwise(F.lit(0.0))
     return [
         {
-            "words": count_runs(text), "em_dashes": n("\u2014"), "stacked": n("\\w+\u2014[\\s\\w]+\u2014"), "smart": n("[\u201c\u201d\u2018\u2019]"), "straight": n("[\"']"),
-            "ellipsis": n("\u2026"), "dots": n(r"\.\.\."), "semicolons": n(";"), "brackets": n("[()]"),
-            "oxford": n(r"\w+,\s+\w+,\s+and\s+\w+"), "not_oxford": n(r"\w+,\s+\w+\s+and\s+\w+"),
-            "inside": n(r'"\w[\w\s]*\."') + n(r"'\w[\w\s]*\.'"), "outside": n(r'"\w[\w\s]*"\.') + n(r"'\w[\w\s]*'\."),
+            "words": count_runs(text), "em_dashes": count_literal(text, "\u2014"), "stacked": if_there(text, "\u2014", n("\\w\u2014[\\s\\w]+\u2014")), "smart": count_chars(text, "\u201c\u201d\u2018\u2019"),
+            "straight": count_chars(text, "\"'"), "ellipsis": count_literal(text, "\u2026"), "dots": count_literal(text, "..."), "semicolons": count_literal(text, ";"), "brackets": count_chars(text, "()"),
+            "oxford": if_there(text, ",", n(r"\w,\s+\w+,\s+and\s+\w+")), "not_oxford": if_there(text, ",", n(r"\w,\s+\w+\s+and\s+\w+")),
+            "inside": if_there(text, '."', n(r'"\w[\w\s]*\."')) + if_there(text, ".'", n(r"'\w[\w\s]*\.'")), "outside": if_there(text, '".', n(r'"\w[\w\s]*"\.')) + if_there(text, "'.", n(r"'\w[\w\s]*'\.")),
         },
         {
             "em_dash": per(c("em_dashes"), c("words"), 1000), "mixed": (c("smart") > 0) & (c("straight") > 0), "semicolon": per(c("semicolons"), c("words"), 1000), "parenthesis": per(c("brackets"), c("words"), 1000),
@@ -77,13 +79,16 @@ def punctuation(text, c: Name) -> Layers:
 
 
 def structure(text, c: Name) -> Layers:
-    first = lambda formulas: sum(text.rlike("(?i)(?<![A-Za-z0-9_])" + f).cast("long") for f in formulas)
-    sizes = lambda parts: F.transform(parts, lambda p: F.size(F.split(strip(p), r"\s+")).cast("long"))
-    sections = F.filter(F.split(text, r"(?md)^#+\s+.+$"), lambda s: strip(s) != "")
+    there = lambda f: reduce(lambda a, b: a | b, [F.contains(c("low"), F.lit(x)) for x in L.FORMULA_WORDS[f]])
+    first = lambda formulas: sum(F.when(there(f), text.rlike("(?i)(?<![A-Za-z0-9_])" + f).cast("long")).otherwise(0) for f in formulas)
+    sizes = lambda parts: F.transform(parts, lambda p: F.greatest(F.lit(1), count(p, r"\S+")).cast("long"))
+    heading = r"(?md)^#+\s+.+$"
+    sections = F.when(c("sections") > 0, F.filter(F.split(text, heading), lambda s: s.rlike(r"\S"))).otherwise(F.array().cast("array<string>"))
     return [
+        {"words": count_words(text), "low": F.lower(text), "sections": if_there(text, "#", count(text, heading))},
         {
-            "words": count_words(text), "sizes": sizes(paragraphs(text)), "bullets": count(text, "(?md)^\\s*[-*\u2022]\\s|^\\d+\\.\\s"), "openings": first(L.OPENINGS), "closings": first(L.CLOSINGS),
-            "sections": count(text, r"(?md)^#+\s+.+$"), "parts": sizes(sections), "found": hits(text, L.TRANSITIONS),
+            "sizes": sizes(paragraphs(text)), "bullets": count(text, "(?md)^\\s*[-*\u2022]\\s|^\\d+\\.\\s"), "openings": first(L.OPENINGS), "closings": first(L.CLOSINGS),
+            "parts": sizes(sections), "found": hits(text, L.TRANSITIONS),
         },
         {"m": moments(c("sizes")), "k": moments(c("parts")), "transitions": F.size(c("found")).cast("long"), "transition_kinds": F.size(F.array_distinct(c("found"))).cast("long")},
         {"paragraphs": c("m")["n"].cast("long"), "paragraph_mean": c("m")["mean"], "paragraph_variance": F.coalesce(F.try_divide(c("m")["squares"], c("m")["n"]), F.lit(0.0))},
@@ -98,7 +103,7 @@ def burstiness(text, c: Name) -> Layers:
     """Word counts of sentences; sample deviation.  Null measures below two sentences."""
     some = lambda v: F.when(c("sentences") > 1, v)
     return [
-        {"sizes": F.transform(sentences(text), lambda s: F.size(split_words(s)).cast("long"))},
+        {"sizes": F.transform(sentences(text), lambda s: count(s, r"\S+"))},
         {"sentences": F.size(c("sizes")).cast("long"), "m": moments(c("sizes")), "shortest": F.array_min(c("sizes")).cast("double"), "longest": F.array_max(c("sizes")).cast("double")},
         {"mean": some(c("m")["mean"]), "variance": some(F.try_divide(c("m")["squares"], c("m")["n"] - 1)), "shortest": some(c("shortest")), "longest": some(c("longest"))},
         {"deviation": F.sqrt(F.when(c("variance") < 0, 0.0).otherwise(c("variance"))), "spread": c("longest") - c("shortest")},

@@ -26,6 +26,21 @@ def count(text, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def count_chars(text, chars: str) -> Column:
+    """Occurrences of any of these characters, without a pattern."""
+    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+
+
+def count_literal(text, term: str) -> Column:
+    """Occurrences of a literal that don't overlap."""
+    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
+
+
+def if_there(text, term: str, value: Column, otherwise=0) -> Column:
+    """value where the text holds the literal, which is far cheaper to look for."""
+    return F.when(F.contains(text, F.lit(term)), value).otherwise(otherwise)
+
+
 def per(n, words, scale: int) -> Column:
     """n in `scale` words; 0 without words."""
     return F.when(words > 0, n * float(scale) / words).otherwise(F.lit(0.0))
@@ -65,7 +80,7 @@ def ngrams(words, n: int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.concat_ws(" ", F.slice(words, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
-#: Steps of prose extraction after the front matter, in order.
+# Steps of prose extraction after the front matter, in order.
 PROSE_STEPS = (
     (r"(?md)^import\s+.*$", ""),
     (r"(?md)^export\s+.*$", ""),

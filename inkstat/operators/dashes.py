@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,26 +42,26 @@ def punctuation_issues(marked: DataFrame, target: float = 1.5, least: float = 1.
     dashes without any semicolon, the first three sentences.
     """
     c, doc = F.col, Window.partitionBy("doc_id")
-    rows = marked.select("*", F.sum("dashes").over(doc).alias("all_dashes"), F.count_if("semicolon").over(doc).alias("all_semicolons"), F.count_if(c("dashes") > 1).over(doc).alias("several"))
-    per_mille = lambda n: c(n) * 1000.0 / c("all_words")
-    out = lambda found, issue: found.select("doc_id", F.lit(issue).alias("issue"), "sentence_id")
+    dashed, fits = c("dashes") > 0, (c("dashes") == 0) & ~c("semicolon") & (c("fit") > 0)
+    last = lambda test: (~test).cast("int")  # noqa: E731  rows of the test come first and are numbered among themselves
     place = lambda *order: F.row_number().over(doc.orderBy(*order))
-
-    dashed = rows.where(c("dashes") > 0)
+    around = lambda k: F.count_if(dashed).over(doc.orderBy("paragraph").rangeBetween(k, k))
+    rows = marked.select(
+        "*", F.sum("dashes").over(doc).alias("all_dashes"), F.count_if("semicolon").over(doc).alias("all_semicolons"), F.count_if(c("dashes") > 1).over(doc).alias("several"), around(0).alias("here"), around(1).alias("ahead"), around(-1).alias("behind"),
+        place(last(dashed), "sentence_id").alias("dash_place"), place(last(dashed), (c("dashes") == 1).cast("int"), "sentence_id").alias("dense_place"),
+        F.least(F.row_number().over(Window.partitionBy("doc_id", "paragraph").orderBy(last(fits), F.desc("fit"), "sentence_id")), F.lit(2)).alias("turn"),
+    )
+    rows = rows.withColumn("fit_place", place(last(fits), "turn", F.desc("fit"), "sentence_id"))
+    per_mille = lambda n: c(n) * 1000.0 / c("all_words")
     excess = c("all_dashes") - F.floor(F.lit(target) * c("all_words") / 1000)
-    dense = dashed.where(per_mille("all_dashes") > target).withColumn("place", place((c("dashes") == 1).cast("int"), c("sentence_id"))).where(c("place") <= F.greatest(excess, "several"))
-    few = dashed.where(c("all_semicolons") == 0).withColumn("place", place("sentence_id")).where(c("place") <= 3)
-
     needed = F.greatest(F.ceil(F.lit(least) * c("all_words") / 1000), F.ceil(F.lit(target * 0.5) * c("all_words") / 1000)) - c("all_dashes")
-    fit = rows.where((per_mille("all_dashes") < least) & (c("all_words") > 500) & (c("dashes") == 0) & ~c("semicolon") & (c("fit") > 0))
-    fit = fit.withColumn("turn", F.least(F.row_number().over(Window.partitionBy("doc_id", "paragraph").orderBy(F.desc("fit"), "sentence_id")), F.lit(2)))
-    rare = fit.withColumn("place", place("turn", F.desc("fit"), "sentence_id")).where(c("place") <= needed)
-
-    joined = rows.where((per_mille("all_semicolons") < 2) & (c("all_words") > 500) & ~c("semicolon") & c("joined"))
-
-    held = dashed.groupBy("doc_id", "paragraph").agg(F.count("*").alias("n"))
-    order = doc.orderBy("paragraph")
-    ahead, behind = (f("paragraph").over(order) for f in (F.lead, F.lag))
-    chosen = held.select("doc_id", "paragraph", ((ahead == c("paragraph") + 1) & (c("n") <= F.lead("n").over(order))).alias("a"), ((behind == c("paragraph") - 1) & (c("n") < F.lag("n").over(order))).alias("b")).where("a or b")
-    stacked = dashed.join(chosen.select("doc_id", "paragraph"), ["doc_id", "paragraph"], "left_semi")
-    return out(dense, "em_dash_density").unionByName(out(rare, "low_em_dash_density")).unionByName(out(stacked, "em_dash_stacking")).unionByName(out(joined, "low_semicolon_density")).unionByName(out(few, "em_dash_semicolon_ratio"))
+    long = c("all_words") > 500
+    tests = {
+        "em_dash_density": dashed & (per_mille("all_dashes") > target) & (c("dense_place") <= F.greatest(excess, "several")),
+        "low_em_dash_density": fits & long & (per_mille("all_dashes") < least) & (c("fit_place") <= needed),
+        "em_dash_stacking": dashed & (((c("ahead") > 0) & (c("here") <= c("ahead"))) | ((c("behind") > 0) & (c("here") < c("behind")))),
+        "low_semicolon_density": long & (per_mille("all_semicolons") < 2) & ~c("semicolon") & c("joined"),
+        "em_dash_semicolon_ratio": dashed & (c("all_semicolons") == 0) & (c("dash_place") <= 3),
+    }
+    found = F.array_compact(F.array(*(F.when(test, F.lit(issue)) for issue, test in tests.items())))
+    return rows.where(reduce(lambda a, b: a | b, tests.values())).select("doc_id", F.explode(found).alias("issue"), "sentence_id")

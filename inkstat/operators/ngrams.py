@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import metrics as M
 from ..functions.text import ngrams
@@ -31,12 +33,78 @@ def counted(docs: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
 
 
+#: Token hashes that a Python worker counts at once.
+HASHES = 1 << 22
+
+
+def _runs(batch: pa.RecordBatch, name: str):
+    """Parts of a batch of at most about HASHES list items, with those, each row's first and number."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(lengths, dtype=np.int64) // HASHES
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            n = lengths[a:b].astype(np.int64)
+            yield batch.slice(a, b - a), batch.column(name).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.cumsum(n) - n, n
+
+
+def _counted(hashes: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, hash and count of every distinct n-gram of every row."""
+    many = np.maximum(size - n + 1, 0)
+    owner = np.repeat(np.arange(len(size)), many)
+    if not len(owner):
+        return owner, owner.astype(np.uint64), owner
+    at = np.arange(len(owner)) + np.repeat(first - np.cumsum(many) + many, many)
+    gram = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        gram = (gram ^ hashes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        gram ^= gram >> np.uint64(29)
+    order = np.lexsort((gram, owner))
+    gram, owner = gram[order], owner[order]
+    new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])]))
+    return owner[new], gram[new], np.diff(np.append(new, len(gram)))
+
+
+def counts(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """rows with total_n, unique_n, once_n and twice_n for each n in sizes instead of h, within the row: no shuffle.
+
+    h: each token's 64-bit hash, in order; n-grams are told apart by hashes of
+    them.  A null or empty array has no n-grams.
+    """
+    rows = rows.select(*(c for c in rows.columns if c != "h"), "h")
+    names = [f"{c}_{n}" for n in sizes for c in ("total", "unique", "once", "twice")]
+
+    def run(batches):
+        for batch in batches:
+            for part, h, first, size in _runs(batch, "h"):
+                made = []
+                for n in sizes:
+                    owner, _, times = _counted(h, first, size, n)
+                    made += [np.maximum(size - n + 1, 0), *(np.bincount(owner, w, len(size)).astype(np.int64) for w in (None, times == 1, times == 2))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, made)], [*part.schema.names[:-1], *names])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *(StructField(c, LongType()) for c in names)]))
+
+
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def shares(n: int) -> dict[str, Column]:
+    """ttr, hapax and repetition of counts(); null without n-grams."""
+    total, unique, once = (F.col(f"{c}_{n}") for c in ("total", "unique", "once"))
+    return {"ttr": F.try_divide(unique, total), "hapax": F.try_divide(once, unique), "repetition": F.try_divide(total - unique, total)}
+
+
+def with_hashes(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """doc_id, more, h: the tokens' hashes; the text is cut once."""
+    return docs.select("doc_id", *more, tokens("text").alias("h")).withColumn("h", hashed(F.col("h")))
+
+
 def profile(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, total, unique, ttr, hapax, repetition for documents that have n-grams; told apart by 64-bit hashes."""
-    rows = with_tokens(docs, "doc_id").select("doc_id", F.explode(F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g))).alias("gram"))
-    counts = rows.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    rows = counts.groupBy("doc_id").agg(F.sum("n").alias("total"), F.count("*").alias("unique"), F.count_if(F.col("n") == 1).alias("once"))
-    return rows.select("doc_id", "total", "unique", (F.col("unique") / F.col("total")).alias("ttr"), (F.col("once") / F.col("unique")).alias("hapax"), ((F.col("total") - F.col("unique")) / F.col("total")).alias("repetition"))
+    """doc_id, total, unique, ttr, hapax, repetition for documents that have n-grams."""
+    rows = counts(with_hashes(docs), (n,)).where(F.col(f"total_{n}") > 0)
+    return rows.select("doc_id", F.col(f"total_{n}").alias("total"), F.col(f"unique_{n}").alias("unique"), *(v.alias(k) for k, v in shares(n).items()))
 
 
 def top(docs: DataFrame, n: int, k: int = 10) -> DataFrame:
@@ -46,11 +114,11 @@ def top(docs: DataFrame, n: int, k: int = 10) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, patterns, rep4, ttr5, rep6, ttr6, hapax6."""
-    four, five, six = (profile(docs, n) for n in (4, 5, 6))
-    rows = docs.select("doc_id", M.phrase_patterns(F.col("text")).alias("patterns"))
-    parts = [four.select("doc_id", F.col("repetition").alias("rep4")), five.select("doc_id", F.col("ttr").alias("ttr5")), six.select("doc_id", F.col("repetition").alias("rep6"), F.col("ttr").alias("ttr6"), F.col("hapax").alias("hapax6"))]
-    return reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, rows)
+    """doc_id, patterns, rep4, ttr5, rep6, ttr6, hapax6: one pass over the text."""
+    rows = counts(with_hashes(docs, M.phrase_patterns(F.col("text")).alias("patterns")), (4, 5, 6))
+    return rows.select(
+        "doc_id", "patterns", shares(4)["repetition"].alias("rep4"), shares(5)["ttr"].alias("ttr5"), shares(6)["repetition"].alias("rep6"), shares(6)["ttr"].alias("ttr6"), shares(6)["hapax"].alias("hapax6")
+    )
 
 
 def verdict(docs: DataFrame, rules) -> DataFrame:
@@ -67,27 +135,43 @@ def diversity(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("v") / F.col("n")).alias("ttr"), (F.col("v") / F.sqrt("n")).alias("rttr"), (F.col("v") / F.sqrt(2 * F.col("n"))).alias("cttr"), F.when(F.col("n") > 1, F.log("v") / F.log("n")).alias("log_ttr"))
 
 
+def _letters(docs: DataFrame) -> DataFrame:
+    """doc_id, h: hashes of the runs of letters."""
+    rows = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("h"))
+    return rows.withColumn("h", hashed(F.col("h")))
+
+
 def hapaxes(docs: DataFrame) -> DataFrame:
-    """doc_id, tokens, types, once, twice."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    counts = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    return counts.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+    """doc_id, tokens, types, once, twice of documents that have words."""
+    rows = counts(_letters(docs), (1,)).where("total_1 > 0")
+    return rows.select("doc_id", F.col("total_1").alias("tokens"), F.col("unique_1").alias("types"), F.col("once_1").alias("once"), F.col("twice_1").alias("twice"))
 
 
 def mattr(docs: DataFrame, window: int = 50) -> DataFrame:
-    """Mean type-token ratio of sliding windows; shorter documents: their own ratio."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    rows = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0)
-    whole = F.size(F.array_distinct("w")) / F.size("w")
-    # a word counts in the windows that hold it and not its last occurrence before: prev is where that lies
-    places = rows.where(F.size("w") >= window).select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
-    before = F.lag("i").over(Window.partitionBy("doc_id", "x").orderBy("i"))
-    counted_ = places.select("doc_id", "n", "i", before.alias("prev"))
-    first = F.greatest(F.lit(0), F.col("i") - (window - 1), F.coalesce(F.col("prev") + 1, F.lit(0)))
-    last = F.least(F.col("i"), F.col("n") - window)
-    sums = counted_.groupBy("doc_id").agg((F.sum(F.greatest(F.lit(0), last - first + 1)) / (F.first("n") - window + 1) / window).alias("mattr"))
-    short = rows.where(F.size("w") < window).select("doc_id", whole.alias("mattr"))
-    return sums.unionByName(short)
+    """Mean type-token ratio of sliding windows; shorter documents: their own ratio.
+
+    A word counts in the windows that hold it and not its last occurrence before.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part, h, first, size in _runs(batch, "h"):
+                owner = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(h)) - first[owner]
+                order = np.lexsort((place, h, owner))
+                same = np.zeros(len(h), bool)
+                same[1:] = (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+                before = np.full(len(h), -1)
+                before[order[1:]] = np.where(same[1:], place[order][:-1], -1)
+                wide = np.minimum(window, size)
+                begins = np.maximum(np.maximum(0, place - wide[owner] + 1), before + 1)
+                ends = np.minimum(place, (size - wide)[owner])
+                total = np.bincount(owner, np.maximum(0, ends - begins + 1), len(size))
+                some = size > 0
+                mean = np.divide(total, (size - wide + 1) * wide, out=np.zeros(len(size)), where=some)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(some)), pa.array(mean[some])], ["doc_id", "mattr"])
+
+    return _letters(docs).select(F.col("doc_id").cast("long"), "h").mapInArrow(run, "doc_id long, mattr double")
 
 
 def zipf(docs: DataFrame) -> DataFrame:
@@ -103,12 +187,24 @@ def zipf(docs: DataFrame) -> DataFrame:
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, item_id, shared, jaccard of distinct n-grams, for pairs that share any: a join on n-grams, not on pairs."""
-    grams = lambda rows, key: with_tokens(rows, key).select(key, F.explode(F.array_distinct(ngrams(F.col("t"), n))).alias("gram"))
+    """doc_id, item_id, shared, jaccard of distinct n-grams, for pairs that share any: a join on n-grams, not on pairs.
+
+    Both sides are cut once and n-grams are told apart by 64-bit hashes.  Rows that
+    share an id are taken for one document if their numbers of n-grams agree.
+    """
+    def grams(rows, key):
+        def run(batches):
+            for batch in batches:
+                for part, h, first, size in _runs(batch, "h"):
+                    owner, gram, _ = _counted(h, first, size, n)
+                    cuts = np.searchsorted(owner, np.arange(len(size) + 1))
+                    yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(gram.view(np.int64)))], ["key", "n", "g"])
+
+        cut = rows.select(F.col(key).cast("long").alias("key"), tokens("text").alias("h")).withColumn("h", hashed(F.col("h"))).mapInArrow(run, "key long, n long, g array<long>")
+        return cut.select(F.col("key").alias(key), F.col("n").alias(f"n_{key}"), F.explode("g").alias("gram"))
+
     a, b = grams(docs, "doc_id"), grams(benchmark, "item_id")
-    shared = a.join(b, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    size = lambda rows, key, name: with_tokens(rows, key).select(key, F.size(F.array_distinct(ngrams(F.col("t"), n))).cast("long").alias(name))
-    rows = shared.join(size(docs, "doc_id", "a"), "doc_id").join(size(benchmark, "item_id", "b"), "item_id")
+    rows = a.join(b, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("n_doc_id").alias("a"), F.first("n_item_id").alias("b"))
     return rows.select("doc_id", "item_id", "shared", (F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("jaccard"))
 
 
