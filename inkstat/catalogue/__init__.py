@@ -15,7 +15,7 @@ from ..operators import syntax as X
 from ..plans import audit
 from ..sources.corpus import tables
 from ..streaming import streams
-from . import dashes, markers, scores, syntax
+from . import dashes, markers, offsets, scores, syntax
 from . import sql as S
 
 QUERIES: dict = {}
@@ -72,9 +72,11 @@ add(
     lambda d: d.select("doc_id", T.count_split(F.col("text")).alias("split_words"), T.count_words(F.col("text")).alias("words"), T.count_runs(F.col("text")).alias("runs"), F.size(ngrams.tokens(F.col("text"))).cast("long").alias("tokens")),
     rf"SELECT doc_id, CAST(len(regexp_split_to_array(lower(text), '\s+')) AS BIGINT) AS split_words, CAST(len({S.WORDS}) AS BIGINT) AS words, CAST({S.cnt(r'\w+')} AS BIGINT) AS runs, CAST(len(regexp_extract_all(lower(text), {S.q(ngrams.TOKEN)})) AS BIGINT) AS tokens FROM docs",
 )
-_table = rf"SELECT doc_id, unnest(generate_series(1, len(l))) AS sentence_id, unnest(l) AS sentence FROM (SELECT doc_id, {S.SENTENCES} AS l FROM docs)"
+_paragraphs = f"SELECT doc_id, unnest(generate_series(0, len(ps) - 1)) AS paragraph, unnest(ps) AS text FROM (SELECT doc_id, {S.PARAGRAPHS} AS ps FROM docs)"
+_table = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph, i) AS sentence_id, paragraph, sentence
+    FROM (SELECT doc_id, paragraph, unnest(generate_series(1, len(l))) AS i, unnest(l) AS sentence FROM (SELECT doc_id, paragraph, {S.SENTENCES} AS l FROM ({_paragraphs})))"""
 _words_of = r"CAST(len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda x: x <> '')) AS BIGINT)"
-add("sentence_table", editing.sentence_table, f"SELECT doc_id, sentence_id, sentence, {_words_of} AS words FROM ({_table})")
+add("sentence_table", editing.sentence_table, f"SELECT doc_id, sentence_id, paragraph, sentence, {_words_of} AS words FROM ({_table})")
 _markers = ", ".join(f"({S.q(k)}, CAST({m} AS DOUBLE), {S.q(s)})" for k, (m, s) in L.SENTENCE_MARKERS.items())
 add(
     "marker_sentences",
@@ -185,11 +187,12 @@ add("html_text", lambda s, p: tables(s, p, "pages").select("page_id", T.plain_ht
 
 # ensembles
 FAST_TOOLS, FIVE = ("vocabulary", "punctuation", "structure"), tuple(verdicts.TOOLS)
-_signals = {"punctuation": verdicts.PUNCTUATION_SIGNALS, "structure": verdicts.STRUCTURE_SIGNALS}
+_signals = {"punctuation": verdicts.PUNCTUATION_SIGNALS, "structure": verdicts.STRUCTURE_SIGNALS, "burstiness": verdicts.BURSTINESS_SIGNALS, "content": verdicts.CONTENT_SIGNALS}
 _show = lambda rows: rows.withColumn("top_signals", F.concat_ws("; ", "top_signals"))
 _fast = lambda compat: S.ensemble(S.tool_rows(FAST_TOOLS, _signals), ensemble.FAST, S.fast_score(compat), "contains(classification, 'ai')" if compat else "classification = 'likely_ai'", 0.65, 0.35, 0.8, 0.2, (0.65, 0.85), 5)
-_more = f"""SELECT doc_id, 'ngram' AS tool, classification, confidence, CAST([] AS VARCHAR[]) AS signals FROM (WITH {_ngram_parts} {_ngram_select})
-    UNION ALL SELECT doc_id, 'syntactic' AS tool, classification, confidence, CAST([] AS VARCHAR[]) AS signals FROM (WITH {syntax.parse(_table)} {syntax.VERDICT})"""
+_ngram_signals = _ngram_select.replace(" AS confidence FROM a", f" AS confidence, {S.named([c for c, _ in _nscores], verdicts.NGRAM_SIGNALS)} AS signals FROM a")
+_more = f"""SELECT doc_id, 'ngram' AS tool, classification, confidence, signals FROM (WITH {_ngram_parts} {_ngram_signals})
+    UNION ALL SELECT doc_id, 'syntactic' AS tool, classification, confidence, signals FROM (WITH {syntax.parse(_table)} {syntax.SIGNALS})"""
 _full = S.ensemble(f"{S.tool_rows(FIVE, _signals)} UNION ALL {_more}", ensemble.FULL, S.FULL_SCORE, "classification = 'likely_ai'", 0.7, 0.3, 0.85, 0.15, (0.75, 0.95), 10)
 fast_rows = lambda d: ensemble.fast(verdicts.tool_rows(d, FAST_TOOLS))
 
@@ -282,3 +285,4 @@ markers.register(add, rounded)
 syntax.register(add, rounded, _table)
 scores.register(add, rounded)
 dashes.register(add, rounded)
+offsets.register(add)

@@ -49,6 +49,7 @@ def strip(x: str) -> str:
 
 
 VOCABULARY = {
+    "found": hits(L.MARKERS),
     "words": r"len(regexp_split_to_array(lower(text), '\s+'))",
     "flags": f"len({hits(L.MARKERS)})",
     "critical": f"len({hits([t for t, (_, s) in L.MARKERS.items() if s == 'critical'])})",
@@ -122,6 +123,8 @@ FLAGS = {
         f"bracket_ratio < {_t('punctuation', 'parenthesis_to_em_dash_ratio', 0)} AND em_dashes > 0", f"oxford_share > {_t('punctuation', 'oxford_comma', 0)} AND oxford + not_oxford > 2",
         f"quote_share > {_t('punctuation', 'period_quote', 0)} AND inside + outside > 2", "mixed",
     ],
+    "burstiness": ["cv < 30", "cv > 50", "fano < 0.8", "fano > 1.5", "spread < 10", "spread > 25", "mean BETWEEN 12 AND 18 AND deviation < 5", "shortest < 5", "longest > 35"],
+    "content": ["hedging > 10", "hedging < 5", "cliches > 2", "superlative > 8", "superlative < 8", "fillers > 2"],
     "structure": ["openings > 0", "closings > 0", f"fano < {_t('structure', 'paragraph_fano_factor', 0)} AND paragraphs > 3", f"bullet_density > {_t('structure', 'bullet_density', 0)}"],
 }
 _n = {k: "(" + " + ".join(_b(f) for f in v) + ")" for k, v in FLAGS.items()}
@@ -158,10 +161,21 @@ def verdict(tool: str) -> str:
     return f"SELECT *, {case(VERDICTS[tool], 1)} AS classification, {case(VERDICTS[tool], 2)} AS confidence FROM ({layers(*TOOL_LAYERS[tool])})"
 
 
+def named(flags: list[str], names: list[str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {f} THEN {q(n)} END" for f, n in zip(flags, names, strict=True)) + "], lambda x: x IS NOT NULL)"
+
+
+_by = lambda k: "CASE {} " + " ".join(f"WHEN {q(t)} THEN {q(v[k]) if k else v[k]}" for t, v in L.MARKERS.items()) + " END"
+MARKER_SIGNALS = (
+    "list_transform(list_sort(list_transform(list_distinct(found), lambda w: {'o': -len(list_filter(found, lambda x: x = w)) * CAST(" + _by(0).format("w")
+    + " AS DOUBLE), 'i': list_position(found, w), 'w': w, 'n': len(list_filter(found, lambda x: x = w))})), lambda r: r.w || ' (' || r.n || 'x, severity: ' || " + _by(1).format("r.w") + " || ')')"
+)
+
+
 def tool_rows(tools, signals: dict[str, list[str]]) -> str:
     parts = []
     for tool in tools:
-        found = "list_filter([" + ", ".join(f"CASE WHEN {f} THEN {q(n)} END" for f, n in zip(FLAGS.get(tool, []), signals.get(tool, []))) + "], lambda x: x IS NOT NULL)" if tool in FLAGS else "CAST([] AS VARCHAR[])"
+        found = MARKER_SIGNALS if tool == "vocabulary" else named(FLAGS[tool], signals[tool])
         parts.append(f"SELECT doc_id, {q(tool)} AS tool, classification, confidence, {found} AS signals FROM ({verdict(tool)})")
     return " UNION ALL ".join(parts)
 

@@ -14,10 +14,10 @@ _pct = lambda a, b: f"CASE WHEN {b} > 0 THEN round({a} * 100.0 / {b}, 2) ELSE 0.
 
 def parse(table: str) -> str:
     return f"""
-    tok AS (SELECT *, lower(w) AS lw FROM (SELECT doc_id, sentence_id, generate_subscripts(r, 1) AS i, unnest(r) AS w FROM (SELECT doc_id, sentence_id, regexp_extract_all(sentence, {S.q(X.TOKEN)}) AS r FROM ({table})))),
+    tok AS (SELECT *, lower(w) AS lw FROM (SELECT doc_id, sentence_id, paragraph, generate_subscripts(r, 1) AS i, unnest(r) AS w FROM (SELECT doc_id, sentence_id, paragraph, regexp_extract_all(sentence, {S.q(X.TOKEN)}) AS r FROM ({table})))),
     pos AS (SELECT *, CASE WHEN NOT regexp_matches(w, '[A-Za-z]') THEN 'PUNCT' WHEN lw IN {_in(X.AUXILIARIES)} THEN 'AUX' WHEN lw IN {_in(X.PRONOUNS)} THEN 'PRON' WHEN lw IN {_in(X.COORDINATORS)} THEN 'CCONJ'
             WHEN lw IN {_in(X.SUBORDINATORS)} THEN 'SCONJ' WHEN length(w) >= 5 THEN 'NOUN' ELSE 'X' END AS pos FROM tok),
-    raw AS (SELECT doc_id, sentence_id, count(*) AS tokens_all, count(*) FILTER (pos <> 'PUNCT') AS words, count(*) FILTER (pos = 'AUX') AS aux, count(*) FILTER (pos = 'PRON') AS pronouns, count(*) FILTER (pos = 'NOUN') AS nouns,
+    raw AS (SELECT doc_id, sentence_id, paragraph, count(*) AS tokens_all, count(*) FILTER (pos <> 'PUNCT') AS words, count(*) FILTER (pos = 'AUX') AS aux, count(*) FILTER (pos = 'PRON') AS pronouns, count(*) FILTER (pos = 'NOUN') AS nouns,
             count(*) FILTER (lw IN {_in(X.VAGUE)}) AS vague, count(*) FILTER (pos = 'SCONJ') AS clauses, count(*) FILTER (pos = 'CCONJ') AS coordinations, count(*) FILTER (pos = 'SCONJ' AND i > 1) AS k,
             coalesce(max(i) FILTER (pos = 'SCONJ' AND i > 1), 0) AS opened, arg_min(string_split(lw, '''')[1], i) IN {_in(X.PRONOUNS)} AS opens_with_pronoun FROM pos GROUP BY ALL),
     sent AS (SELECT *, CASE WHEN tokens_all = 1 THEN 0 ELSE k + CASE WHEN opened = tokens_all THEN 0 ELSE 1 END END AS depth, {_pct('aux', 'words')} AS aux_share, {_pct('pronouns', 'words')} AS pronoun_share, {_pct('nouns', 'words')} AS noun_share,
@@ -37,6 +37,10 @@ _points = (
 VERDICT = f"SELECT doc_id, CASE WHEN p > 30 THEN 'likely_ai' WHEN p < -30 THEN 'likely_human' ELSE 'uncertain' END AS classification, round(CAST(abs(p) / 100.0 AS DOUBLE), 6) AS confidence FROM (SELECT doc_id, {_points} AS p FROM docm)"
 
 
+_FLAGS = ["compound_complex_ratio < 0.05", "depth_variance < 1", "depth_mean < 3.5", "uniformity > 0.7", "aux_share > 5.5", "noun_share < 18", "pronoun_share > 7"]
+SIGNALS = VERDICT.replace(" AS confidence FROM (SELECT doc_id,", f" AS confidence, {S.named(_FLAGS, X.SIGNALS)} AS signals FROM (SELECT *,")
+
+
 def register(add, rounded, table: str) -> None:
     parts = ", " + parse(table)
     sentences = lambda d: X.sentence_measures(X.closed_classes(d))
@@ -76,7 +80,7 @@ def register(add, rounded, table: str) -> None:
         lambda d: rounded(X.pronoun_targets(sentences(d)).fillna(0, ["antecedent"])),
         f"""{parts}, t AS (SELECT s.* FROM sent s JOIN docm d USING (doc_id) WHERE s.pronoun_share > d.pronoun_share * 1.5 OR s.pronouns >= 2 OR s.opens_with_pronoun)
         SELECT t.doc_id, t.sentence_id, any_value(t.pronouns) AS pronouns, CAST(any_value(t.pronoun_share) AS DOUBLE) AS pronoun_share, CASE WHEN max(b.nouns) > 0 THEN arg_max(b.sentence_id, b.nouns * 1000000000 + b.sentence_id) ELSE t.sentence_id - 1 END AS antecedent
-        FROM t LEFT JOIN sent b ON b.doc_id = t.doc_id AND b.sentence_id BETWEEN t.sentence_id - 3 AND t.sentence_id - 1 GROUP BY t.doc_id, t.sentence_id""",
+        FROM t LEFT JOIN sent b ON b.doc_id = t.doc_id AND b.sentence_id BETWEEN t.sentence_id - 3 AND t.sentence_id - 1 AND b.paragraph >= t.paragraph - 1 GROUP BY t.doc_id, t.sentence_id""",
     )
     add("pronoun_groups", lambda d: X.pronoun_groups(X.pronoun_targets(sentences(d))).select("doc_id", "group_id", F.concat_ws(",", "members").alias("members")))
     add("structure_flags", lambda d: rounded(X.structure_flags(sentences(d))))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count, count_words, paragraphs, sentences
+from ..functions.text import count, count_words
+from .editing import sentence_table
 
 # What makes a sentence fit to take a dash: points, pattern, least number of words.
 FIT = [
@@ -20,10 +21,8 @@ JOINED = r"(?i),\s*(and|but|so|yet|however|therefore)\s"
 
 def dash_sentences(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_id (from 1), paragraph (from 0), dashes, semicolon, joined, fit, words, all_words of the document."""
-    parts = docs.select("doc_id", count_words(F.col("text")).alias("all_words"), F.posexplode_outer(paragraphs(F.col("text"))).alias("paragraph", "p")).where("p is not null")
-    parts = parts.select("doc_id", "all_words", "paragraph", F.posexplode_outer(sentences(F.col("p"))).alias("i", "s")).where("s is not null")
-    s = F.col("s")
-    rows = parts.select("*", F.row_number().over(Window.partitionBy("doc_id").orderBy("paragraph", "i")).cast("long").alias("sentence_id"), F.size(F.split(s, r"\s+")).alias("words"))
+    s = F.col("sentence")
+    rows = sentence_table(docs, count_words(F.col("text")).alias("all_words")).withColumn("words", F.size(F.split(s, r"\s+")))
     n = F.col("words")
     points = sum((F.when(s.rlike(p) & (n >= least), v).otherwise(0) for v, p, least in FIT), F.when(n >= 15, 1).otherwise(0) + F.when(n >= 25, 1).otherwise(0))
     return rows.select(

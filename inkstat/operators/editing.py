@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import alternatives, bounded, sentences
+from ..functions.text import alternatives, bounded, paragraphs, sentences
+from .offsets import PROTECTED
 
 DASH = "—"
 
 
-def sentence_table(docs: DataFrame) -> DataFrame:
-    """doc_id, sentence_id (from 1), sentence, words."""
+def sentence_table(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, more, sentence_id (from 1), paragraph (from 0), sentence, words: no sentence goes beyond its paragraph."""
+    cut = F.flatten(F.transform(paragraphs(F.col("text")), lambda p, i: F.transform(sentences(p), lambda s: F.struct(i.alias("paragraph"), s.alias("sentence")))))
     # outer: Spark would cut the text twice, to filter and to explode
-    rows = docs.select("doc_id", F.posexplode_outer(sentences(F.col("text"))).alias("i", "sentence")).where("sentence is not null")
-    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("sentence_id"), "sentence", F.size(F.filter(F.split("sentence", r"\s+"), lambda w: w != "")).cast("long").alias("words"))
+    rows = docs.select("doc_id", *more, F.posexplode_outer(cut).alias("i", "s")).where("s is not null")
+    return rows.select(*(c for c in rows.columns if c not in ("i", "s")), (F.col("i") + 1).cast("long").alias("sentence_id"), F.col("s.paragraph").cast("long").alias("paragraph"), "s.sentence", F.regexp_count("s.sentence", F.lit(r"\S+")).cast("long").alias("words"))
 
 
 def marker_sentences(docs: DataFrame) -> DataFrame:
@@ -66,9 +69,6 @@ def cleaned(text, dashes: bool = True) -> Column:
     return text
 
 
-_PROTECTED = re.compile(r"\A---\n[\s\S]*?\n---|^(`{3,}|~{3,})[^\n]*\n[\s\S]*?\n\1[ \t]*$|``[^`\n]+``|`[^`\n]+`", re.M)
-
-
 def clean_protected(docs: DataFrame, dashes: bool = True) -> DataFrame:
     """doc_id, cleaned, changes (rule -> count); front matter, fenced and inline code stay as they are.
 
@@ -89,13 +89,42 @@ def clean_protected(docs: DataFrame, dashes: bool = True) -> DataFrame:
     return native.unionByName(_clean_with_ranges(docs.where(~plain), dashes))
 
 
+def clean_changes(docs: DataFrame, dashes: bool = True) -> DataFrame:
+    """doc_id, rule, line, before, after, context: every change of the cleanup, its place told in the text as the rules before left it."""
+    rules = [(n, re.compile(p.replace("(?md)", "(?m)"), re.ASCII), re.sub(r"\$(\d)", r"\\\1", new)) for n, p, new in CLEANUP if dashes or "dash" not in n]
+
+    def one(doc_id, text: str):
+        for name, pattern, new in rules:
+            kept, done = [m.span() for m in PROTECTED.finditer(text)], []
+
+            def put(m, name=name, new=new, kept=kept, done=done, text=text):
+                if any(a <= m.start() < b for a, b in kept):
+                    return m[0]
+                after = m.expand(new)
+                a, b = max(0, m.start() - 30), min(len(text), m.end() + 30)
+                around = ("..." if a else "") + text[a:b].replace("\n", "\\n") + ("..." if b < len(text) else "")
+                done.append((doc_id, name, text.count("\n", 0, m.start()) + 1, m[0], after, around))
+                return after
+
+            text = pattern.sub(put, text)
+            yield from done
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame([c for doc_id, t in zip(frame["doc_id"], frame["text"]) for c in one(doc_id, t)], columns=["doc_id", "rule", "line", "before", "after", "context"])
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.where(reduce(lambda a, b: a | b, [F.col("text").rlike(p) for n, p, _ in CLEANUP if dashes or "dash" not in n]))
+    return rows.mapInPandas(run, "doc_id long, rule string, line long, before string, after string, context string")
+
+
 def _clean_with_ranges(docs: DataFrame, dashes: bool) -> DataFrame:
     rules = [(n, re.compile(p.replace("(?md)", "(?m)"), re.ASCII), re.sub(r"\$(\d)", r"\\\1", new)) for n, p, new in CLEANUP if dashes or "dash" not in n]
 
     def one(text: str) -> tuple[str, dict]:
         changes: dict[str, int] = {}
         for name, pattern, new in rules:
-            kept = [m.span() for m in _PROTECTED.finditer(text)]
+            kept = [m.span() for m in PROTECTED.finditer(text)]
 
             def put(m, name=name, new=new, kept=kept):
                 if any(a <= m.start() < b for a, b in kept):

@@ -123,8 +123,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def verdict(docs: DataFrame, rules) -> DataFrame:
     rows = measured(docs)
-    classification, confidence = verdicts.ngram({c: F.col(c) for c in rows.columns}, rules)
-    return rows.withColumn("classification", classification).withColumn("confidence", confidence)
+    m = {c: F.col(c) for c in rows.columns}
+    classification, confidence = verdicts.ngram(m, rules)
+    return rows.select("*", classification.alias("classification"), confidence.alias("confidence"), verdicts.named(verdicts.ngram_flags(m, rules), verdicts.NGRAM_SIGNALS).alias("signals"))
 
 
 def diversity(docs: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def closed_classes(docs: DataFrame) -> DataFrame:
     A subordinator opens a clause (advcl) that what follows hangs on.
     """
     lemma = F.create_map(*(F.lit(x) for kv in AUXILIARIES.items() for x in kv))
-    rows = sentence_table(docs).select("doc_id", "sentence_id", F.lit(0).alias("paragraph"), F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)).alias("w"))
+    rows = sentence_table(docs).select("doc_id", "sentence_id", "paragraph", F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)).alias("w"))
     rows = rows.withColumn("low", F.transform("w", F.lower))
     rows = rows.withColumn("opens", F.filter(F.transform("low", lambda x, i: F.when((i > 0) & x.isin(SUBORDINATORS), i)), lambda i: i.isNotNull()))
     pos = lambda x, i: (
@@ -67,16 +67,17 @@ def closed_classes(docs: DataFrame) -> DataFrame:
 def height(heads: pd.Series) -> pd.Series:
     """Edges of the longest path down from the root; a cycle ends after as many steps as there are tokens."""
 
-    def one(h) -> int:
-        at = np.asarray(h, np.int64)
-        if not len(at):
-            return 0
+    sizes = heads.map(len).to_numpy()
+    out = np.zeros(len(heads), np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        first = (np.cumsum(sizes) - sizes)[some]
+        at = np.concatenate(heads.to_numpy()[some]).astype(np.int64) + np.repeat(first, sizes[some])
         depth = (at != np.arange(len(at))).astype(np.int64)
-        for _ in range(int(len(at)).bit_length()):  # follow heads of heads
+        for _ in range(int(sizes.max()).bit_length()):  # follow heads of heads, in all sentences at once
             depth, at = depth + depth[at], at[at]
-        return int(min(depth.max(), len(at)))
-
-    return heads.map(one)
+        out[some] = np.minimum(np.maximum.reduceat(depth, first), sizes[some])
+    return pd.Series(out)
 
 
 def sentence_measures(parsed: DataFrame) -> DataFrame:
@@ -127,7 +128,11 @@ def verdict(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
         + F.when(flag("avg_dependency_depth", "depth_mean"), 20).otherwise(0) + F.when(c("aux_share") > 5.5, 15).otherwise(0) + F.when(flag("sentence_type_uniformity", "uniformity"), 15).otherwise(0)
     )
     classification, confidence = verdicts.cases((points > 30, verdicts.AI, F.abs(points) / 100), (points < -30, verdicts.HUMAN, F.abs(points) / 100), (None, verdicts.UNSURE, F.abs(points) / 100))
-    return documents.select("*", classification.alias("classification"), confidence.alias("confidence"))
+    flags = [c("compound_complex_ratio") < 0.05, c("depth_variance") < 1, flag("avg_dependency_depth", "depth_mean"), flag("sentence_type_uniformity", "uniformity"), c("aux_share") > 5.5, c("noun_share") < 18, c("pronoun_share") > 7]
+    return documents.select("*", classification.alias("classification"), confidence.alias("confidence"), verdicts.named(flags, SIGNALS).alias("signals"))
+
+
+SIGNALS = ["no compound-complex sentences", "low variance of depth", "shallow dependencies", "uniform sentence types", "many auxiliaries", "few nouns", "many pronouns"]
 
 
 def _with_totals(sentences: DataFrame, columns: tuple[str, ...]) -> DataFrame:

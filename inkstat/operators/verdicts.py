@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config.rules import Rules
+from ..functions import lexicons as L
 from ..functions import metrics as M
 
 AI, HUMAN, UNSURE, ERROR = "likely_ai", "likely_human", "uncertain", "error"
@@ -84,6 +85,28 @@ def structure(m, rules: Rules):
     return cases((n >= 2, AI, _at_most(0.5 + n * 0.15)), (varied & (n == 0), HUMAN, 0.75), (None, UNSURE, 0.5))
 
 
+def _side(rules: Rules, category: str, rule: str, value: Column, fallback: float) -> tuple[Column, Column]:
+    """Beyond the ai threshold; beyond the human baseline on the other side."""
+    baseline = (rules.get(category, rule) or (None, fallback))[1]
+    return rules.flags(category, rule, value, auto_off=False), F.coalesce(value > baseline, F.lit(False)) if rules.get(category, rule) else F.lit(False)
+
+
+def burstiness_flags(m, rules: Rules) -> list[Column]:
+    pairs = [_side(rules, "burstiness", rule, m[c], base) for rule, c, base in (("coefficient_of_variation", "cv", 60.0), ("fano_factor", "fano", 1.5), ("length_range", "spread", 25.0))]
+    return [*(f for pair in pairs for f in pair), m["mean"].between(12, 18) & (m["deviation"] < 5), m["shortest"] < 5, m["longest"] > 35]
+
+
+BURSTINESS_SIGNALS = ["low variation of sentence lengths", "high variation of sentence lengths", "low dispersion of sentence lengths", "high dispersion of sentence lengths", "narrow range of sentence lengths", "wide range of sentence lengths", "sentences of 12 to 18 words", "very short sentences", "very long sentences"]
+
+
+def vocabulary_signals(m) -> Column:
+    """One signal a marker word: `word (nx, severity: s)`, by what it contributes, then by first place."""
+    spec = F.create_map(*(F.lit(x) for term, (weight, severity) in L.MARKERS.items() for x in (term, F.struct(F.lit(weight).alias("weight"), F.lit(severity).alias("severity")))))
+    words = F.array_distinct(m["found"])
+    rows = F.transform(words, lambda w, i: F.struct((-F.size(F.filter(m["found"], lambda x: x == w)) * F.element_at(spec, w)["weight"]).alias("order"), i.alias("i"), w.alias("word"), F.size(F.filter(m["found"], lambda x: x == w)).alias("n")))
+    return F.transform(F.sort_array(rows), lambda r: F.concat(r["word"], F.lit(" ("), r["n"].cast("string"), F.lit("x, severity: "), F.element_at(spec, r["word"])["severity"], F.lit(")")))
+
+
 def burstiness(m, rules: Rules):
     """error below two sentences."""
     bounds = {k: rules.get("burstiness", k) or d for k, d in (("coefficient_of_variation", (30.0, 50.0)), ("fano_factor", (0.8, 1.5)), ("length_range", (10.0, 25.0)))}
@@ -102,6 +125,16 @@ def burstiness(m, rules: Rules):
     )
 
 
+def content_flags(m, rules: Rules) -> list[Column]:
+    above = lambda rule, c: rules.flags("content", rule, m[c], auto_off=False)
+    return [
+        above("hedging", "hedging"), ~above("hedging", "hedging") & (m["hedging"] < 5), above("cliche", "cliches"), above("superlative", "superlative"), ~above("superlative", "superlative") & (m["superlative"] < 8), above("filler", "fillers"),
+    ]
+
+
+CONTENT_SIGNALS = ["much hedging", "little hedging", "cliches", "many superlatives", "few superlatives", "filler phrases"]
+
+
 def content(m, rules: Rules):
     """error below twenty words."""
     hedge, cliche, superlative, filler = (rules.get("content", k) or d for k, d in (("hedging", (15.0, 5.0)), ("cliche", (3.0, 0.0)), ("superlative", (20.0, 8.0)), ("filler", (3.0, 0.0))))
@@ -114,21 +147,24 @@ def content(m, rules: Rules):
     return cases((m["words"] < 20, ERROR, 0.0), (score <= -5, AI, 0.85), (score <= -2, AI, 0.65), (score >= 3, HUMAN, 0.75), (score >= 1, HUMAN, 0.60), (None, UNSURE, 0.50))
 
 
+NGRAM_SIGNALS = ["much 6-gram repetition", "low 6-gram diversity", "very high 6-gram diversity", "phrase patterns", "some phrase patterns", "elevated 4-gram repetition", "high 5-gram diversity"]
+
+
+def ngram_flags(m, rules: Rules) -> list[Column]:
+    many = rules.flags("ngram", "ai_pattern_count", m["patterns"], auto_off=False)
+    return [
+        rules.flags("ngram", "six_gram_repetition_rate", m["rep6"], auto_off=False), rules.flags("ngram", "six_gram_ttr", m["ttr6"], auto_off=False), F.coalesce((m["ttr6"] > 0.95) & (m["hapax6"] > 0.9), F.lit(False)), many,
+        ~many & (m["patterns"] > 0), F.coalesce(m["rep4"] > 0.25, F.lit(False)), F.coalesce(m["ttr5"] > 0.9, F.lit(False)),
+    ]
+
+
 def ngram(m, rules: Rules):
     """m: rep4, ttr5, rep6, ttr6, hapax6 (null: no such n-grams) and patterns."""
     rep_limit = (rules.get("ngram", "six_gram_repetition_rate") or (0.15, None))[0]
     pattern_limit = (rules.get("ngram", "ai_pattern_count") or (2.0, None))[0]
-    varied = F.coalesce((m["ttr6"] > 0.95) & (m["hapax6"] > 0.9), F.lit(False))
-    many = rules.flags("ngram", "ai_pattern_count", m["patterns"], auto_off=False)
-    scores = [
-        (rules.flags("ngram", "six_gram_repetition_rate", m["rep6"], auto_off=False), 0.7),
-        (rules.flags("ngram", "six_gram_ttr", m["ttr6"], auto_off=False), 0.6),
-        (varied, -0.7),
-        (many, 0.8),
-        (~many & (m["patterns"] > 0), 0.4),
-        (F.coalesce(m["rep4"] > 0.25, F.lit(False)), 0.3),
-        (F.coalesce(m["ttr5"] > 0.9, F.lit(False)), -0.3),
-    ]
+    flags = ngram_flags(m, rules)
+    varied = flags[2]
+    scores = list(zip(flags, (0.7, 0.6, -0.7, 0.8, 0.4, 0.3, -0.3)))
     n = number([c for c, _ in scores])
     mean = F.when(n > 0, reduce(lambda a, b: a + b, [F.when(c, F.lit(s)).otherwise(F.lit(0.0)) for c, s in scores]) / n).otherwise(F.lit(0.0))
     strong, weak = _at_most(0.5 + F.abs(mean)), _at_most(0.4 + F.abs(mean * 0.5))
@@ -141,13 +177,18 @@ def ngram(m, rules: Rules):
     )
 
 
+def named(flags: list[Column], names: list[str]) -> Column:
+    """The names of the flags that hold."""
+    return F.array_compact(F.array(*(F.when(f, F.lit(n)) for f, n in zip(flags, names))))
+
+
 #: Tools whose measures are one projection of the text: measures, verdict, flags with their signals.
 TOOLS = {
-    "vocabulary": (M.vocabulary, vocabulary, None),
+    "vocabulary": (M.vocabulary, vocabulary, vocabulary_signals),
     "punctuation": (M.punctuation, punctuation, (punctuation_flags, PUNCTUATION_SIGNALS)),
     "structure": (M.structure, structure, (structure_flags, STRUCTURE_SIGNALS)),
-    "burstiness": (M.burstiness, burstiness, None),
-    "content": (M.content, content, None),
+    "burstiness": (M.burstiness, burstiness, (burstiness_flags, BURSTINESS_SIGNALS)),
+    "content": (M.content, content, (content_flags, CONTENT_SIGNALS)),
 }
 
 
@@ -182,9 +223,7 @@ def tool_rows(docs: DataFrame, tools: tuple[str, ...], rules: Rules = Rules(), t
     for tool in tools:
         m = Measures(tool)
         classification, confidence = TOOLS[tool][1](m, rules)
-        signals = F.array().cast("array<string>")
-        if TOOLS[tool][2]:
-            flags, names = TOOLS[tool][2]
-            signals = F.array_compact(F.array(*(F.when(f, F.lit(n)) for f, n in zip(flags(m, rules), names))))
+        told = TOOLS[tool][2]
+        signals = told(m) if callable(told) else named(told[0](m, rules), told[1])
         made.append(F.struct(F.lit(tool).alias("tool"), classification.alias("classification"), confidence.alias("confidence"), signals.alias("signals")))
     return rows.select("doc_id", F.explode(F.array(*made)).alias("r")).select("doc_id", "r.*")

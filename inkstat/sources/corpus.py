@@ -16,8 +16,19 @@ def text_files(spark: SparkSession, root: str, pattern: str = "*", ignore: str |
     return rows.where(~F.col("path").rlike(ignore)) if ignore else rows
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their files come in fewer pieces than there are cores; larger tables stay as they lie.
+
+    A Parquet row group is read by one task, and measures of texts take far longer than
+    moving a table that small.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def write_json(rows: DataFrame, path: str) -> None:
