@@ -9,7 +9,8 @@ from ..config import rules as R
 from ..functions import lexicons as L
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import editing, ensemble, ngrams, verdicts
+from .. import api
+from ..operators import editing, ensemble, ngrams, planner, verdicts
 from ..operators import scores as C
 from ..operators import syntax as X
 from ..plans import audit
@@ -258,7 +259,22 @@ def _issues(d: DataFrame) -> DataFrame:
 _issue_sql = f"""SELECT DISTINCT doc_id, sentence_id, 'vocabulary' AS tool, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END AS priority, marker FROM ({_table}), (VALUES {_markers}) AS m(marker, multiplier, severity) WHERE regexp_matches(sentence, '(?i)\\b' || marker || '\\b')
     UNION ALL SELECT doc_id, sentence_id, 'punctuation' AS tool, 3 AS priority, '' AS marker FROM ({_table}) WHERE contains(sentence, '—')"""
 add("issues_union", lambda d: rounded(_issues(d).groupBy("doc_id", "sentence_id", "tool").agg(F.sum("priority").alias("priority"))), f"SELECT doc_id, sentence_id, tool, CAST(sum(priority) AS BIGINT) AS priority FROM ({_issue_sql}) GROUP BY doc_id, sentence_id, tool")
-add("fix_plan", lambda d: editing.fix_plan(_issues(d), _issues(d).groupBy("doc_id", "tool").agg((F.sum("contribution") - 1).alias("excess"))))
+
+
+def _plan(d: DataFrame) -> DataFrame:
+    return planner.plan(d, planner.gathered(d))
+
+
+add("plan_issues", lambda d: rounded(planner.issues(d).groupBy("tool", "priority").agg(F.count("*").alias("n"), F.sum("contribution").alias("contribution"))))
+add("plan_budgets", lambda d: planner.budgets(planner.gathered(d)))
+add("fix_plan", lambda d: _plan(d).withColumn("constraints", F.to_json("constraints")))
+add("plan_verdict", lambda d: planner.verdict(d, _plan(d)))
+add(
+    "category_report",
+    lambda d: api.category_report(verdicts.tool_rows(d, FAST_TOOLS)),
+    f"""SELECT doc_id, tool, classification, round(CAST(confidence AS DOUBLE), 6) AS confidence, round({S.FULL_SCORE}, 6) AS score, CASE tool WHEN 'vocabulary' THEN 0.15 ELSE 0.05 END::DOUBLE AS weight, coalesce(array_to_string(signals[1:3], '; '), '') AS key_signals
+        FROM ({S.tool_rows(FAST_TOOLS, _signals)})""",
+)
 
 # audits, rounds, reports
 _when = lambda k: F.timestamp_seconds(F.col("doc_id") * 60 + k)

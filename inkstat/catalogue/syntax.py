@@ -77,10 +77,33 @@ def register(add, rounded, table: str) -> None:
     )
     add(
         "pronoun_targets",
-        lambda d: rounded(X.pronoun_targets(sentences(d)).fillna(0, ["antecedent"])),
+        lambda d: rounded(X.pronoun_targets(sentences(d)).drop("doc_pronouns").fillna(0, ["antecedent"])),
         f"""{parts}, t AS (SELECT s.* FROM sent s JOIN docm d USING (doc_id) WHERE s.pronoun_share > d.pronoun_share * 1.5 OR s.pronouns >= 2 OR s.opens_with_pronoun)
         SELECT t.doc_id, t.sentence_id, any_value(t.pronouns) AS pronouns, CAST(any_value(t.pronoun_share) AS DOUBLE) AS pronoun_share, CASE WHEN max(b.nouns) > 0 THEN arg_max(b.sentence_id, b.nouns * 1000000000 + b.sentence_id) ELSE t.sentence_id - 1 END AS antecedent
         FROM t LEFT JOIN sent b ON b.doc_id = t.doc_id AND b.sentence_id BETWEEN t.sentence_id - 3 AND t.sentence_id - 1 AND b.paragraph >= t.paragraph - 1 GROUP BY t.doc_id, t.sentence_id""",
     )
     add("pronoun_groups", lambda d: X.pronoun_groups(X.pronoun_targets(sentences(d))).select("doc_id", "group_id", F.concat_ws(",", "members").alias("members")))
+    add(
+        "pronoun_types",
+        lambda d: X.pronoun_types(X.closed_classes(d)),
+        f"""{parts}, x AS (SELECT doc_id, CASE WHEN lw IN {_in(X.TYPES['demonstrative'])} THEN CASE WHEN coalesce(lead(pos) OVER w, '') <> 'NOUN' THEN 'demonstrative' END WHEN lw IN {_in(X.TYPES['possessive'])} THEN 'possessive'
+            WHEN lw IN {_in(X.TYPES['relative'])} THEN 'relative' WHEN lw IN {_in(X.INDEFINITE)} THEN 'indefinite' WHEN pos = 'PRON' THEN 'personal' END AS type FROM pos WINDOW w AS (PARTITION BY doc_id, sentence_id ORDER BY i))
+        SELECT doc_id, type, count(*) AS n FROM x WHERE type IS NOT NULL GROUP BY doc_id, type""",
+    )
+    add(
+        "auxiliary_patterns",
+        lambda d: X.auxiliary_patterns(X.closed_classes(d)),
+        f"""{parts}, x AS (SELECT doc_id, pos, {_lemma} AS lemma, coalesce(lead(lw) OVER w, '') AS l1, coalesce(lead(lw, 2) OVER w, '') AS l2 FROM pos WINDOW w AS (PARTITION BY doc_id, sentence_id ORDER BY i)),
+        y AS (SELECT doc_id, CASE WHEN lemma = 'be' THEN CASE WHEN regexp_matches(l1, '^[a-z]+ing$') THEN 'progressive' WHEN regexp_matches(l1, '^[a-z]+(ed|en)$') THEN 'passive' ELSE 'other' END
+            WHEN lemma = 'have' THEN CASE WHEN regexp_matches(l1, '^[a-z]+(ed|en)$') THEN 'perfect' ELSE 'other' END WHEN lemma = 'do' THEN 'do_emphasis'
+            WHEN l1 IN ('have', 'has', 'had') AND regexp_matches(l2, '^[a-z]+(ed|en)$') THEN 'modal_perfect' ELSE 'modal' END AS pattern FROM x WHERE pos = 'AUX')
+        SELECT doc_id, pattern, count(*) AS n FROM y GROUP BY doc_id, pattern""",
+    )
+    add(
+        "topic_coherence",
+        lambda d: X.topic_coherence(d),
+        f"""SELECT doc_id, CAST(len(e) AS BIGINT) AS entities, CAST(len(d) AS BIGINT) AS "distinct", CASE WHEN len(e) > 0 THEN round(1 - CAST(len(d) AS DOUBLE) / len(e), 2) ELSE 0.0 END AS coherence,
+        array_to_string(list_transform(list_sort(list_transform(d, lambda w: {{'n': -len(list_filter(e, lambda x: x = w)), 'w': w}}))[1:5], lambda r: r.w || ' ' || (-r.n)), '; ') AS top
+        FROM (SELECT doc_id, e, list_distinct(e) AS d FROM (SELECT doc_id, regexp_extract_all(text, {S.q(X.ENTITY)}, 1) AS e FROM docs))""",
+    )
     add("structure_flags", lambda d: rounded(X.structure_flags(sentences(d))))

@@ -178,24 +178,37 @@ def replaced(docs: DataFrame, replacements: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(items, "doc_id").mapInPandas(run, "doc_id long, text string, applied long, missed long")
 
 
+def greedy(flags: list[tuple], left: dict[str, float]) -> list[int]:
+    """Sentences in the order in which they are chosen: those that serve most tools first, then by priority and place, until every budget is spent.
+
+    flags: sentence_id, tool, priority (a number), contribution; left: each tool's budget.
+    """
+    of: dict[int, list[tuple]] = {}
+    for sentence, *flag in flags:
+        of.setdefault(sentence, []).append(flag)
+    left, out = dict(left), []
+    for sentence in sorted(of, key=lambda k: (-len({tool for tool, _, _ in of[k]}), -sum(p for _, p, _ in of[k]), k)):
+        if all(v <= 0 for v in left.values()):
+            break
+        if any(left.get(tool, 0) > 0 for tool, _, _ in of[sentence]):
+            out.append(sentence)
+            for tool, _, contribution in of[sentence]:
+                if tool in left:
+                    left[tool] -= contribution
+    return out
+
+
 def fix_plan(issues: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Sentences to rewrite: greedily those that serve most tools, until every budget is spent.
+    """doc_id, sentence_id, place: sentences to rewrite, by `greedy`, a document at a time.
 
     issues: doc_id, sentence_id, tool, priority, contribution; budgets: doc_id, tool, excess.
     """
-    keys = issues.groupBy("doc_id", "sentence_id").agg(F.countDistinct("tool").alias("tools"), F.sum("priority").alias("priority"), F.collect_list(F.struct("tool", "contribution")).alias("parts"))
-    rows = keys.join(budgets.groupBy("doc_id").agg(F.collect_list(F.struct("tool", "excess")).alias("budgets")), "doc_id")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        left = {b["tool"]: b["excess"] for b in frame["budgets"].iloc[0]}
-        out = []
-        for row in frame.sort_values(["tools", "priority", "sentence_id"], ascending=[False, False, True]).itertuples():
-            if all(v <= 0 for v in left.values()):
-                break
-            if any(left.get(p["tool"], 0) > 0 for p in row.parts):
-                for p in row.parts:
-                    left[p["tool"]] = left.get(p["tool"], 0) - p["contribution"]
-                out.append((row.doc_id, row.sentence_id, len(out) + 1))
-        return pd.DataFrame(out, columns=["doc_id", "sentence_id", "place"])
-
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, sentence_id long, place long")
+    rows = issues.groupBy("doc_id").agg(F.collect_list(F.struct("sentence_id", "tool", "priority", "contribution")).alias("flags"))
+    rows = rows.join(budgets.groupBy("doc_id").agg(F.collect_list(F.struct("tool", "excess")).alias("budgets")), "doc_id")
+
+    def run(frames):
+        for frame in frames:
+            made = [(doc_id, sentence, place) for doc_id, flags, left in zip(frame["doc_id"], frame["flags"], frame["budgets"]) for place, sentence in enumerate(greedy([tuple(f.values()) for f in flags], {b["tool"]: b["excess"] for b in left}), 1)]
+            yield pd.DataFrame(made, columns=["doc_id", "sentence_id", "place"])
+
+    return rows.mapInPandas(run, "doc_id long, sentence_id long, place long")

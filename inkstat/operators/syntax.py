@@ -191,7 +191,7 @@ def pronoun_targets(sentences: DataFrame) -> DataFrame:
     best = F.array_max(F.array_compact(F.array(*(back(k) for k in (1, 2, 3)))))
     rows = rows.select("*", best.alias("best"), F.lag("sentence_id").over(w).alias("previous"))
     target = (F.col("pronoun_share") > F.col("doc_pronouns") * 1.5) | (F.col("pronouns") >= 2) | F.col("opens_with_pronoun")
-    return rows.where(target).select("doc_id", "sentence_id", "pronouns", "pronoun_share", F.when(F.col("best.nouns") > 0, F.col("best.id")).otherwise(F.col("previous")).alias("antecedent"))
+    return rows.where(target).select("doc_id", "sentence_id", "pronouns", "pronoun_share", "doc_pronouns", F.when(F.col("best.nouns") > 0, F.col("best.id")).otherwise(F.col("previous")).alias("antecedent"))
 
 
 def pronoun_groups(targets: DataFrame) -> DataFrame:
@@ -245,3 +245,57 @@ def structure_flags(sentences: DataFrame) -> DataFrame:
     rows = rows.where(c("words") > 6).select("*", priority.alias("priority"), F.when(plain, merge).alias("merge_with")).where("priority is not null")
     budget = F.least(F.greatest(F.lit(0), F.ceil(c("n") * 0.06) - c("both")) + 3, F.ceil(c("simples") * 0.3))
     return rows.withColumn("place", F.row_number().over(order)).where(c("place") <= budget).select("doc_id", "sentence_id", "priority", "depth", "words", "merge_with", "place")
+
+
+# Indefinite pronouns.
+INDEFINITE = [
+    "anyone", "anything", "everybody", "everyone", "everything", "nobody", "nothing", "somebody", "someone", "something", "one", "none", "all", "any", "each", "either", "neither", "both", "few", "many", "several", "some",
+]
+# Other pronouns by type; what is left of PRONOUNS is personal.
+TYPES = {"possessive": ["my", "your", "his", "its", "our", "their", "whose"], "demonstrative": ["this", "that", "these", "those"], "relative": ["who", "whom", "which"]}
+
+
+def pronoun_types(parsed: DataFrame) -> DataFrame:
+    """doc_id, type, n: pronouns by type, told by form; a demonstrative before a noun determines it and is none."""
+    low = lambda t: F.lower(t["text"])
+    follows = lambda i: F.coalesce(F.get("tokens", i + 1)["pos"].isin("NOUN", "PROPN"), F.lit(False))
+    kind = lambda t, i: (
+        F.when(low(t).isin(TYPES["demonstrative"]), F.when(~follows(i), "demonstrative")).when(low(t).isin(TYPES["possessive"]), "possessive").when(low(t).isin(TYPES["relative"]), "relative").when(low(t).isin(INDEFINITE), "indefinite").when(t["pos"] == "PRON", "personal")
+    )
+    rows = parsed.select("doc_id", F.explode_outer(F.array_compact(F.transform("tokens", kind))).alias("type")).where("type is not null")
+    return rows.groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+
+
+def auxiliary_patterns(parsed: DataFrame) -> DataFrame:
+    """doc_id, pattern, n: what auxiliaries do, by the one or two tokens behind them.
+
+    Where the parse has no finer tags, a participle is told by its ending.
+    """
+    ing = lambda k: F.coalesce(F.lower(F.get("tokens", k)["text"]).rlike("^[a-z]+ing$"), F.lit(False))
+    past = lambda k: F.coalesce(F.lower(F.get("tokens", k)["text"]).rlike("^[a-z]+(ed|en)$"), F.lit(False))
+    lemma = lambda k: F.coalesce(F.get("tokens", k)["lemma"], F.lit(""))
+    modal = [v for v in set(AUXILIARIES.values()) if v not in ("be", "have", "do")]
+    kind = lambda t, i: F.when(
+        t["pos"] == "AUX",
+        F.when((t["lemma"] == "be") & ing(i + 1), "progressive").when((t["lemma"] == "be") & past(i + 1), "passive").when((t["lemma"] == "have") & past(i + 1), "perfect")
+        .when(t["lemma"].isin(modal), F.when((lemma(i + 1) == "have") & past(i + 2), "modal_perfect").otherwise("modal")).when(t["lemma"] == "do", "do_emphasis").otherwise("other"),
+    )
+    rows = parsed.select("doc_id", F.explode_outer(F.array_compact(F.transform("tokens", kind))).alias("pattern")).where("pattern is not null")
+    return rows.groupBy("doc_id", "pattern").agg(F.count("*").alias("n"))
+
+
+#: Capitalised words in a row that do not begin a sentence: the entities of a text without a model.
+ENTITY = "[a-z,;] ([A-Z][a-z]+(?: [A-Z][a-z]+)*)"
+
+
+def topic_coherence(docs: DataFrame, entities: Column | None = None) -> DataFrame:
+    """doc_id, entities, distinct, coherence (one less the share of distinct ones), top: five most frequent, ties in order of text.
+
+    entities: an array of names, for a recogniser's result; by default capitalised runs.
+    """
+    rows = docs.select("doc_id", (F.regexp_extract_all("text", F.lit(ENTITY), F.lit(1)) if entities is None else entities).alias("e"))
+    rows = rows.select("doc_id", F.coalesce("e", F.array().cast("array<string>")).alias("e")).withColumn("d", F.array_sort(F.array_distinct("e")))
+    counted = F.transform("d", lambda w: F.struct((-F.size(F.filter("e", lambda x: x == w))).alias("n"), w.alias("w")))
+    top = F.concat_ws("; ", F.transform(F.slice(F.array_sort(counted), 1, 5), lambda x: F.concat(x["w"], F.lit(" "), (-x["n"]).cast("string"))))
+    n, k = F.size("e").cast("long"), F.size("d").cast("long")
+    return rows.select("doc_id", n.alias("entities"), k.alias("distinct"), F.round(F.when(n > 0, 1 - k / n).otherwise(0.0), 2).alias("coherence"), top.alias("top"))
