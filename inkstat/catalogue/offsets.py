@@ -44,10 +44,10 @@ def register(add) -> None:
     add("paragraph_offsets", lambda d: O.paragraphs(d), f'SELECT doc_id, paragraph, s AS start, e AS "end" FROM ({_PARAGRAPHS})')
     add("sentence_offsets", lambda d: O.sentences(d), f'SELECT doc_id, sentence_id, s AS start, e AS "end", sentence FROM ({_SENTENCES})')
     add("paragraph_bounds", lambda d: O.paragraph_bounds(O.sentences(d), O.paragraphs(d)), f"SELECT p.doc_id, paragraph, min(sentence_id) AS first, max(sentence_id) AS last FROM ({_PARAGRAPHS}) p JOIN ({_SENTENCES}) s ON p.doc_id = s.doc_id AND s.s >= p.s AND s.s < p.e GROUP BY p.doc_id, paragraph")
-    at, n = F.instr("text", ".") - 1, F.lit(1)
+    at = lambda: F.instr("text", ".") - 1
     add(
         "line_and_context",
-        lambda d: d.where(at >= 0).select("doc_id", O.line_at(F.col("text"), at).alias("line"), O.context(F.col("text"), at, n).alias("context")),
+        lambda d: d.where(at() >= 0).select("doc_id", O.line_at(F.col("text"), at()).alias("line"), O.context(F.col("text"), at(), F.lit(1)).alias("context")),
         f"SELECT doc_id, CAST({_LINE.format('o')} AS BIGINT) AS line, {_CONTEXT.format('o', '1')} AS context FROM (SELECT doc_id, text, instr(text, '.') - 1 AS o FROM docs) WHERE o >= 0",
     )
     fenced = lambda d: d.select("doc_id", F.concat(F.lit("---\na: b\n---\n# Head\n> see `code`, [label](to)\n"), "text").alias("text"))
