@@ -94,4 +94,4 @@ def test_files_and_streams(spark, tmp_path):
     assert sorted(r["text"] for r in corpus.text_files(spark, str(tmp_path), ignore="skip").collect()) == ["one", "two"]
     spark.createDataFrame([(1, "We delve.", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "in"))
     streams.score_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).first()["classification"] == "likely_ai" or spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "out")).first()["classification"] == "likely_ai"
