@@ -16,7 +16,7 @@ from ..operators import syntax as X
 from ..plans import audit
 from ..sources.corpus import tables
 from ..streaming import streams
-from . import dashes, markers, offsets, scores, syntax
+from . import dashes, markers, offsets, profiles, scores, syntax
 from . import sql as S
 
 QUERIES: dict = {}
@@ -302,3 +302,4 @@ syntax.register(add, rounded, _table)
 scores.register(add, rounded)
 dashes.register(add, rounded)
 offsets.register(add)
+profiles.register(add, _table)
