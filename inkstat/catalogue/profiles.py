@@ -28,17 +28,6 @@ _severity = "CASE found " + " ".join(f"WHEN {S.q(k)} THEN {S.q(s)}" for k, (_, s
 _names = "CASE found " + " ".join(f"WHEN chr({ord(k)}) THEN {S.q(v)}" for k, v in P.INVISIBLE.items()) + " END"
 _matches = lambda ps: "array_to_string(list_filter([" + ", ".join(f"left(regexp_extract(text, {S.q('(?i)\\b' + p)}), 50)" for p in ps) + "], lambda x: x <> ''), ' | ')"
 _cut = lambda text: f"regexp_extract_all(lower({text}), {S.q(ngrams.TOKEN)})"
-_grams = lambda t, n: f"list_distinct(list_transform(generate_series(1, len({t}) - {n - 1}), lambda i: array_to_string({t}[i:i + {n - 1}], ' ')))"
-
-
-def _overlap() -> str:
-    sizes = ", ".join(f"{_grams('a', n)} AS a{n}, {_grams('b', n)} AS b{n}" for n in P.WEIGHTS)
-    counts = ", ".join(f"len(a{n}) AS n{n}, len(b{n}) AS m{n}, len(list_intersect(a{n}, b{n})) AS k{n}" for n in P.WEIGHTS)
-    shares = ", ".join(f"CASE WHEN n{n} > 0 THEN round(k{n} * 1.0 / n{n}, 4) END AS overlap_{n}, CASE WHEN n{n} > 0 THEN round(k{n} * 1.0 / (n{n} + m{n} - k{n}), 4) END AS jaccard_{n}" for n in P.WEIGHTS)
-    sum_ = " + ".join(f"coalesce(overlap_{n}, 0) * {w}" for n, w in P.WEIGHTS.items())
-    return f"""SELECT *, CASE WHEN overlap_3 IS NOT NULL THEN round(CAST({sum_} AS DOUBLE), 4) END AS aggregate FROM (SELECT doc_id, {shares} FROM (SELECT doc_id, {counts}
-        FROM (SELECT doc_id, {sizes} FROM (SELECT doc_id, {_cut('text')} AS a, {_cut("replace(text, ' the ', ' a ')")} AS b FROM docs))))"""
-
 
 _BASELINE = f""", w AS (SELECT doc_id, lang, {_cut('text')} AS t FROM docs),
     g AS (SELECT doc_id, lang, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) AS gram FROM w),
@@ -62,7 +51,7 @@ def register(add, table: str) -> None:
     )
     joined = lambda c: F.concat_ws(" | ", c).alias(c)
     add("formula_texts", lambda d: P.formulas(d).select("doc_id", joined("openings"), joined("closings")), f"SELECT doc_id, {_matches(L.OPENINGS)} AS openings, {_matches(L.CLOSINGS)} AS closings FROM docs")
-    add("weighted_overlap", lambda d: P.weighted_overlap(d.withColumn("other", F.replace("text", F.lit(" the "), F.lit(" a ")))), _overlap())
+    add("weighted_overlap", lambda d: P.weighted_overlap(d.withColumn("other", F.replace("text", F.lit(" the "), F.lit(" a ")))))
     add("baseline_bigrams", lambda d: P.baseline(d, d.where("lang = 'en'"), 2), _BASELINE)
     add("hapax_top4", lambda d: ngrams.top(d, 1, 4), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS rank FROM (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_cut('text')}) AS gram FROM docs) GROUP BY ALL)) WHERE rank <= 4")
     add("tree_measures", lambda d: P.tree_measures(X.closed_classes(d)).select("doc_id", "sentence_id", F.round("yngve", 4).alias("yngve"), "frazier", "dependency_length"))
