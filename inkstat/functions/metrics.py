@@ -31,13 +31,19 @@ def total(values: Column) -> Column:
 
 
 def moments(values: Column) -> Column:
-    """Struct of n, mean and the sum of squared differences, in one pass; whole numbers stay exact."""
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    n = F.size(values).cast("double")
-    return F.aggregate(
-        values, zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x.cast("double") * x).alias("q")),
-        lambda a: F.struct(n.alias("n"), F.coalesce(F.try_divide(a["s"], n), F.lit(0.0)).alias("mean"), (a["q"] - F.coalesce(F.try_divide(a["s"] * a["s"], n), F.lit(0.0))).alias("squares")),
-    )
+    """Struct of n, mean and the sum of squared differences, in one pass.
+
+    Squares grow along a running mean, in the order of the values, as the SQL's engine
+    does it: dispersions that lie on a threshold fall to the same side in both.
+    """
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in ("n", "s", "m", "q")))
+
+    def add(a: Column, x: Column) -> Column:
+        x = x.cast("double")
+        m = a["m"] + (x - a["m"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), m.alias("m"), (a["q"] + (x - m) * (x - a["m"])).alias("q"))
+
+    return F.aggregate(values, zero, add, lambda a: F.struct(a["n"].alias("n"), F.coalesce(F.try_divide(a["s"], a["n"]), F.lit(0.0)).alias("mean"), a["q"].alias("squares")))
 
 
 def hits(text, terms, flags: str = "(?i)") -> Column:
