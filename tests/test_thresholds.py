@@ -18,7 +18,7 @@ def texts():
     yield 32, "\n".join(" ".join(p) for p in parts)
 
 
-@pytest.mark.parametrize("name", ["burstiness_verdict", "category_report", "fast_ensemble", "only_filter"])
+@pytest.mark.parametrize("name", ["burstiness_verdict", "category_report", "fast_ensemble", "only_filter", "fast_ensemble_sane"])
 def test_threshold(spark, tmp_path, name):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts()], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
