@@ -268,7 +268,7 @@ def _plan(d: DataFrame) -> DataFrame:
 add("plan_issues", lambda d: rounded(planner.issues(d).groupBy("tool", "priority").agg(F.count("*").alias("n"), F.sum("contribution").alias("contribution"))))
 add("plan_budgets", lambda d: planner.budgets(planner.gathered(d)))
 add("fix_plan", lambda d: _plan(d).withColumn("constraints", F.to_json("constraints")))
-add("plan_verdict", lambda d: planner.verdict(d, _plan(d)))
+add("plan_verdict", planner.verdict)
 add(
     "category_report",
     lambda d: api.category_report(verdicts.tool_rows(d, FAST_TOOLS)),
