@@ -261,13 +261,9 @@ _issue_sql = f"""SELECT DISTINCT doc_id, sentence_id, 'vocabulary' AS tool, CASE
 add("issues_union", lambda d: rounded(_issues(d).groupBy("doc_id", "sentence_id", "tool").agg(F.sum("priority").alias("priority"))), f"SELECT doc_id, sentence_id, tool, CAST(sum(priority) AS BIGINT) AS priority FROM ({_issue_sql}) GROUP BY doc_id, sentence_id, tool")
 
 
-def _plan(d: DataFrame) -> DataFrame:
-    return planner.plan(d, planner.gathered(d))
-
-
 add("plan_issues", lambda d: rounded(planner.issues(d).groupBy("tool", "priority").agg(F.count("*").alias("n"), F.sum("contribution").alias("contribution"))))
 add("plan_budgets", lambda d: planner.budgets(planner.gathered(d)))
-add("fix_plan", lambda d: _plan(d).withColumn("constraints", F.to_json("constraints")))
+add("fix_plan", lambda d: planner.plan(d).withColumn("constraints", F.to_json("constraints")))
 add("plan_verdict", planner.verdict)
 add(
     "category_report",

@@ -61,7 +61,7 @@ def test_text_without_words(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
-@pytest.mark.parametrize("name", ["plan_issues", "plan_verdict"])
+@pytest.mark.parametrize("name", ["plan_issues", "plan_verdict", "fix_plan"])
 def test_documents_are_read_once(spark, name):
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and plan.count("Relation [") == 1
