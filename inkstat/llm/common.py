@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once by a Python worker.
 SLICE_BYTES = 1 << 20
+#: Bytes at which a batch of rows goes to a Python worker; the row that reaches them still belongs to it.  Spark's own bound is 10,000 rows or 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -34,6 +38,12 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds batches to Python workers in bytes for the session, unless it has a bound of its own: each is held by the executor and by the worker."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 #: Folders that `staged` wrote and nobody discarded yet, in order.
 _MADE: list[str] = []
 
@@ -79,14 +89,31 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, TypeError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a reused Python worker would hold on to its peak from stage to stage, used or idle."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES):
-    """Runs of rows whose texts together hold about `most` bytes; one longer text stands alone."""
+    """Runs of rows whose texts together hold about `most` bytes; one longer text stands alone.
+
+    After the last one, memory that was freed on the way is given back.
+    """
     lengths = pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False)
     block = np.cumsum(lengths, dtype=np.int64) // most
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def text_bytes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
