@@ -14,13 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, partition_id, slices, staging_root, text_bytes, word_hashes, words
+from .common import bound_batches, column, partition_id, slices, staging_root, text_bytes, word_hashes, words
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 3 << 20
-#: Distinct words whose ids a worker keeps for good, and for a while.
-COMMON, RECENT = 400_000, 100_000
+ENCODE_BYTES = 1 << 20
+#: Ids of distinct words that a worker keeps for good, and for a while.
+COMMON, RECENT = 1_400_000, 350_000
 #: White space is single spaces and newlines between other characters, and one newline may end the text; every
 #: character is one that all versions of Unicode tables class alike.
 _PLAIN = re.compile("(?:[ \n]?[\x00-\x08\x0e-\x1b!-\x84\x86-\x9f\xa1-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]++)*+\n?").fullmatch
@@ -52,8 +52,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        self.common: dict[int, bytes] = {}
-        self.recent: dict[int, bytes] = {}
+        #: Known words: hashes in ascending order, where each one's ids lie in the pool, and how many they are.
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
         self.piece = self.tokenizer.model.tokenize
         self.newline = self._encode(["\n"])[0]
 
@@ -80,27 +81,27 @@ class Encoder:
             out[i] = ids
         return out
 
-    def _words(self, keys: list[int], word) -> list[bytes]:
-        """Ids for word hashes; word(k) gives the k-th word and what stands before it."""
-        ids = list(map(self.common.get, keys))
-        gaps = [k for k, v in enumerate(ids) if v is None]
-        new = []
-        for k in gaps:
-            if (v := self.recent.get(keys[k])) is None:
-                new.append(k)
-            else:
-                ids[k] = v
-        learnt = self._learn([word(k) for k in new])
-        for k, v in zip(new, learnt):
-            ids[k] = v
-        if len(self.common) < COMMON:
-            keep = self.common
-        else:
-            keep = self.recent
-            if len(keep) > RECENT:
-                keep.clear()
-        keep.update((keys[k], v) for k, v in zip(new, learnt))
-        return ids
+    def _places(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these ascending word hashes begin in the pool, and how many they are; word(k) gives the k-th word and what stands before it."""
+        if len(self.pool) > COMMON + RECENT:
+            stops = self.starts + self.sizes
+            stay = stops <= COMMON
+            self.keys, self.starts, self.sizes = self.keys[stay], self.starts[stay], self.sizes[stay]
+            self.pool = self.pool[: stops[stay].max(initial=0)].copy()
+        at = np.searchsorted(self.keys, hashes)
+        lacks = at == len(self.keys)
+        lacks[~lacks] = self.keys[at[~lacks]] != hashes[~lacks]
+        new = np.flatnonzero(lacks)
+        if len(new):
+            learnt = self._learn([word(k) for k in new.tolist()])
+            sizes = np.array([len(v) // 4 for v in learnt], np.int64)
+            places = at[new]
+            self.keys = np.insert(self.keys, places, hashes[new])
+            self.starts = np.insert(self.starts, places, len(self.pool) + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, places, sizes)
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(learnt), "<u4")])
+            at += np.cumsum(lacks) - lacks
+        return self.starts[at], self.sizes[at]
 
     def __call__(self, column_: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null one is empty."""
@@ -119,7 +120,8 @@ class Encoder:
         kind = np.where(data[starts - 1] == 10, 1, 0)
         kind[first[:-1]] = 2
         # signs behind a word's last ASCII letter or digit are a piece of their own (kind 3)
-        last = np.maximum.accumulate(np.where(_SOLID[data], np.arange(len(data)), -1))[ends - 1]
+        signed = np.int32 if len(data) < 1 << 31 else np.int64
+        last = np.maximum.accumulate(np.where(_SOLID[data], np.arange(len(data), dtype=signed), signed(-1)))[ends - 1]
         split = (last >= starts) & (last < ends - 1) & (data[last] < 128)
         place = np.arange(len(starts)) + np.cumsum(split) - split
         tails = place[split] + 1
@@ -130,14 +132,11 @@ class Encoder:
         starts, ends, kind = begins, stops, kinds
         keys = word_hashes(data, starts, ends) + kind.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
         new, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        begin, end, kinds = starts[at].tolist(), ends[at].tolist(), kind[at].tolist()
-        ids = self._words(new.tolist(), lambda k: (raw[begin[k] : end[k]].decode(), kinds[k]))
-        size = np.array([len(v) // 4 for v in ids], np.int64)
-        pool = np.frombuffer(b"".join(ids), "<u4")
+        del keys
+        begin, size = self._places(new, lambda k: (data[starts[at[k]] : ends[at[k]]].tobytes().decode(), kind[at[k]]))
         n = size[back]
         done = np.cumsum(n)
-        tokens = pool[np.repeat((np.cumsum(size) - size)[back] - (done - n), n) + np.arange(done[-1])].tobytes()
+        tokens = self.pool[np.repeat(begin[back] - (done - n), n) + np.arange(done[-1])].tobytes()
         cuts = np.append(0, done)[first] * 4
         newline = (data[offsets[1:] - 1] == 10).tolist()
         for i, a, b, more in zip(chosen, cuts[:-1].tolist(), cuts[1:].tolist(), newline):
@@ -157,8 +156,10 @@ def encode_sorted(docs: DataFrame, end_id: int = 2, path: str | None = None) ->
     """Rows in ascending doc_id order (repeated ids: by text), partition after partition.
 
     A null text is empty and still gets its end id; a null doc_id comes first.
-    shard_start counts the ids of the same partition before the row.
+    shard_start counts the ids of the same partition before the row.  Batches
+    to Python workers are bounded in bytes.
     """
+    bound_batches(docs.sparkSession)
 
     def encode(batches):
         shard, at, end = partition_id(), 0, np.array([end_id], "<u4").tobytes()
