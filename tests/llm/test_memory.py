@@ -81,7 +81,7 @@ print(n, resident() - before)
 @pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
 def test_known_words_take_little_memory():
     n, grown = map(int, subprocess.run([sys.executable, "-c", WORDS], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split())
-    assert n > 900_000 and grown < 40
+    assert n > 900_000 and grown < 32
 
 
 def test_known_words_are_bounded_in_ids(monkeypatch):
